@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quern.llm import keyed_queries
+from quern.llm import keyed_queries, text_queries
 
-MODULES = (keyed_queries,)
+MODULES = (keyed_queries, text_queries)
 
 
 def all_queries() -> dict[str, Callable]:
