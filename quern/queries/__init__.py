@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quern.queries import lifecycle
+from quern.queries import lifecycle, timeseries
 
-MODULES = (lifecycle,)
-FLAGSHIP = "p5_found"
+MODULES = (lifecycle, timeseries)
+FLAGSHIP = "ts_aggregate_mean"
 
 
 def all_queries() -> dict[str, Callable]:
