@@ -8,7 +8,7 @@ gives the time at which the document is due; sorted by that time, the documents
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.prefix import prefix_sums
@@ -35,8 +35,8 @@ def targets(mix: DataFrame) -> DataFrame:
     """
     rows = mix.select(canonical_source(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("max_repeats"))
     rows = rows.filter("source is not null and share > 0 and max_repeats > 0").groupBy("source").agg(F.max("share").alias("share"), F.max("max_repeats").alias("max_repeats"))
-    sums = rows.agg(F.sum("share").alias("__all"), F.sum(F.col("share") * F.col("share")).alias("__squares")).withColumn("__one", F.lit(1))
-    both = rows.withColumn("__one", F.lit(1)).join(F.broadcast(sums), "__one")  # one row
+    every = Window.partitionBy()  # over a row for each source
+    both = rows.withColumns({"__all": F.sum("share").over(every), "__squares": F.sum(F.col("share") * F.col("share")).over(every)})
     share = F.col("share") / F.col("__all")
     # slope = -TILT share (share - S), S the sum of squared shares: adds up to 0, and |slope| <= TILT share.
     slope = -F.lit(TILT) * share * (share - F.col("__squares") / (F.col("__all") * F.col("__all")))
@@ -65,8 +65,7 @@ def budgets(documents: DataFrame, mix: DataFrame, total_tokens: int | None = Non
     rows = targets(mix).join(have, "source", "left").fillna(0, ["docs", "tokens"])
     most = F.col("tokens") * F.col("max_repeats")
     if total_tokens is None:
-        whole = rows.agg(F.min(F.when(F.col("tokens") > 0, most / F.col("share"))).alias("whole")).withColumn("__one", F.lit(1))
-        rows = rows.withColumn("__one", F.lit(1)).join(F.broadcast(whole), "__one").drop("__one")  # one row
+        rows = rows.withColumn("whole", F.min(F.when(F.col("tokens") > 0, most / F.col("share"))).over(Window.partitionBy()))
     else:
         rows = rows.withColumn("whole", F.lit(float(total_tokens)))
     demand = F.floor(F.coalesce(F.col("whole"), F.lit(0.0)) * F.col("share") + 1e-6).cast("bigint")
@@ -101,10 +100,9 @@ def positions(mixed: DataFrame) -> DataFrame:
     return numbered.drop("__cut")
 
 
-def shares(mixed: DataFrame, documents: DataFrame, mix_targets: DataFrame) -> DataFrame:
+def shares(mixed: DataFrame, mix_targets: DataFrame) -> DataFrame:
     """(source, target_share, reached_share, tokens, picks, most_repeats, max_repeats): what the mix came to."""
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("picks"), (F.max("repeat") + 1).alias("most_repeats"))
-    total = got.agg(F.sum("tokens").alias("__total")).withColumn("__one", F.lit(1))
-    rows = targets(mix_targets).join(got, "source", "left").fillna(0, ["tokens", "picks", "most_repeats"]).withColumn("__one", F.lit(1))
-    rows = rows.join(F.broadcast(total), "__one")  # one row
-    return rows.select("source", F.col("share").alias("target_share"), F.coalesce(F.col("tokens") / F.col("__total"), F.lit(0.0)).alias("reached_share"), "tokens", "picks", "most_repeats", "max_repeats")
+    rows = targets(mix_targets).join(got, "source", "left").fillna(0, ["tokens", "picks", "most_repeats"])
+    rows = rows.withColumn("__total", F.sum("tokens").over(Window.partitionBy()))
+    return rows.select("source", F.col("share").alias("target_share"), F.when(F.col("__total") > 0, F.col("tokens") / F.col("__total")).otherwise(0.0).alias("reached_share"), "tokens", "picks", "most_repeats", "max_repeats")

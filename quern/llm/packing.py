@@ -132,13 +132,18 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[Segment], int, int
     return segments + more, opened + extra, solved
 
 
-def pieces(sizes: DataFrame, packs: DataFrame) -> DataFrame:
+def capacities(packs: DataFrame) -> dict[int, int]:
+    """The packs of a table of a few rows; those without an id or a positive capacity don't count."""
+    return {r["pack_id"]: int(r["capacity_tokens"]) for r in packs.filter("pack_id is not null and capacity_tokens > 0").orderBy("capacity_tokens").collect()}
+
+
+def pieces(sizes: DataFrame, limits: dict[int, int]) -> DataFrame:
     """(pack_id, doc_id, piece, first_token, n_tokens): whole documents, and those above a capacity cut at its multiples.
 
-    Documents without tokens and packs without a positive capacity have no row.
+    Documents without tokens have no row.
     """
-    packs = packs.filter("pack_id is not null and capacity_tokens > 0").groupBy("pack_id").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
-    rows = sizes.filter("n_tokens > 0").withColumn("__one", F.lit(1)).join(F.broadcast(packs.withColumn("__one", F.lit(1))), "__one")  # four packs
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("pack_id"), F.lit(c).cast("bigint").alias("capacity")) for p, c in limits.items()]))
+    rows = sizes.filter("n_tokens > 0").select("doc_id", "n_tokens", each.alias("__p")).select("doc_id", "n_tokens", "__p.*")
     last = F.floor((F.col("n_tokens") - 1) / F.col("capacity")).cast("int")
     cut = rows.select("pack_id", "capacity", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     first = F.col("piece").cast("bigint") * F.col("capacity")
@@ -155,8 +160,10 @@ def pack(sizes: DataFrame, packs: DataFrame) -> DataFrame:
     times that. Full pieces need no plan: each is a container, like any item of the capacity's size.
     """
     spark = sizes.sparkSession
-    cut = materialize(pieces(sizes, packs), "pieces")
-    limits = {r["pack_id"]: r["capacity_tokens"] for r in packs.filter("pack_id is not null and capacity_tokens > 0").collect()}
+    limits = capacities(packs)
+    if not limits:
+        return spark.createDataFrame([], "pack_id int, bin_id bigint, doc_id bigint, piece int, first_token bigint, n_tokens bigint")
+    cut = materialize(pieces(sizes, limits), "pieces")
     histogram = cut.groupBy("pack_id", "n_tokens").count().collect()
     segments = []
     for pack_id, capacity in limits.items():

@@ -138,6 +138,7 @@ def report(arrivals: DataFrame, key: str, arrival: str, warm: DataFrame, warm_ke
     keys = keys.unionByName(warm.filter(F.col(warm_key).isNotNull()).select(F.col(warm_key).alias("k"), F.lit(0).alias("a")))
     each = keys.groupBy("k").agg(F.sum("a").alias("a"), F.min("a").alias("fresh"))
     true = each.agg(F.coalesce(F.sum("a") - F.sum("fresh"), F.lit(0)).alias("exact_seen"), F.count(F.lit(1)).alias("distinct_keys"))
-    both = told.withColumn("one", F.lit(1)).join(F.broadcast(true.withColumn("one", F.lit(1))), "one")  # one row each
+    exact_seen, distinct_keys = true.first()  # two numbers
+    both = told.withColumns({"exact_seen": F.lit(int(exact_seen)).cast("bigint"), "distinct_keys": F.lit(int(distinct_keys)).cast("bigint")})
     wrong = F.col("seen") - F.col("exact_seen")
     return both.select("answered", "seen", "exact_seen", wrong.alias("wrong"), F.when(F.col("answered") > 0, wrong / F.col("answered")).alias("wrong_rate"), (F.col("distinct_keys") / F.lit(2.0**bits)).alias("expected_rate"))

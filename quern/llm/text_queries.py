@@ -19,20 +19,19 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = materialize(tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"]), "sizes")
-    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets")), sizes
+    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selection with its training positions."""
-    return mixing.positions(_mixed(spark, sf_dir)[0])
+    return mixing.positions(_mixed(spark, sf_dir))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares reached."""
-    mixed, sizes = _mixed(spark, sf_dir)
-    return mixing.shares(mixed, sizes, table(spark, sf_dir, "mix_targets"))
+    return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
