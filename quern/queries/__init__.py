@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quern.queries import lifecycle, timeseries
+from quern.queries import lifecycle, records, timeseries
 
-MODULES = (lifecycle, timeseries)
+MODULES = (lifecycle, timeseries, records)
 FLAGSHIP = "ts_aggregate_mean"
 
 
