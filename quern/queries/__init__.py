@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quern.queries import lifecycle, records, timeseries
+from quern.queries import lifecycle, measures, records, timeseries
 
-MODULES = (lifecycle, timeseries, records)
+MODULES = (lifecycle, timeseries, records, measures)
 FLAGSHIP = "ts_aggregate_mean"
 
 
