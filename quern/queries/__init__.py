@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quern.queries import languages, lifecycle, measures, records, timeseries
+from quern.queries import languages, lifecycle, measures, records, streams, timeseries
 
-MODULES = (lifecycle, timeseries, records, measures, languages)
+MODULES = (lifecycle, timeseries, records, measures, languages, streams)
 FLAGSHIP = "ts_aggregate_mean"
 
 

@@ -91,10 +91,10 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem")
 
 
-@_query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS v FROM lineitem")
+@_query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS v FROM lineitem")
 def stack_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = stack_language.Machine(_ITEM).column("l_extendedprice 1 l_discount - * 1 l_tax + *")
-    return _items(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(c, 4).alias("v"))
+    return _items(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(c, 6).alias("v"))
 
 
 @_query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN l_quantity * 2 ELSE l_quantity + 100 END + l_quantity AS v FROM lineitem")
@@ -151,7 +151,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.concat(F.lit("ev."), "event_type").alias("metric"), labels.alias("labels"), F.lit("gauge").alias("kind"), "ts", "value")
 
 
-@_query("SELECT ':__name__=ev_' || event_type || ':note=a \"b\"\\' || event_type || ':user=' || user_id || ':' AS tags, epoch_ms(ts) AS ms, max(value) AS \"value\" FROM events GROUP BY ALL")
+@_query("SELECT ':__name__=ev_' || event_type || ':note=a \"b\"\\' || event_type || ':user=' || user_id || ':' AS tags, epoch_us(ts) // 1000 AS ms, max(value) AS \"value\" FROM events GROUP BY ALL")
 def src_exposition_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples written in the text format and read again."""
     path = workspace(spark, "metrics")
