@@ -36,7 +36,8 @@ def order_key(x: Column) -> Column:
     guess = F.floor(F.log2(a)).cast("double")
     exponent = F.when(_power(guess) > a, guess - 1).when(_power(guess + 1) <= a, guess + 1).otherwise(guess)
     fraction = a / _power(exponent) - 1
-    normal = ((exponent + 1023) * F.lit(float(1 << MANTISSA)) + fraction * F.lit(float(1 << MANTISSA))).cast("bigint")
+    # Each part is whole and within 53 bits as a double; only their sum as bigints is exact.
+    normal = (exponent + 1023).cast("bigint") * F.lit(1 << MANTISSA) + (fraction * F.lit(float(1 << MANTISSA))).cast("bigint")
     bits = (
         F.when(a == 0, F.lit(0).cast("bigint"))
         .when(a == float("inf"), F.lit(2047 << MANTISSA).cast("bigint"))
