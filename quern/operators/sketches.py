@@ -16,8 +16,8 @@ PRIMES = (4294967291, 4294967279, 4294967231, 4294967197, 4294967189, 4294967161
 EMPTY = "0" * 64
 
 
-def setsum(items: DataFrame, item: str, by: Sequence[str] = (), sign: str | None = None) -> DataFrame:
-    """(by..., setsum): 64 hexadecimal digits that depend on the multiset of the items (binary or string) alone.
+def multiset_sum(items: DataFrame, item: str, by: Sequence[str] = (), sign: str | None = None) -> DataFrame:
+    """(by..., checksum): 64 hexadecimal digits that depend on the multiset of the items (binary or string) alone.
 
     Each item's SHA3-256 is eight little-endian 32-bit numbers, added modulo eight primes. Equal multisets
     have equal sums, and sums add and subtract as multisets do; `sign` names a column of 1 and -1 for items
@@ -35,7 +35,7 @@ def setsum(items: DataFrame, item: str, by: Sequence[str] = (), sign: str | None
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], *(pa.array(cells[:, i]) for i in range(8))], names)
 
     sums = rows.mapInArrow(run, schema).groupBy(*by).agg(*[F.sum(F.pmod(F.col(f"c{i}"), F.lit(p))).alias(f"c{i}") for i, p in enumerate(PRIMES)])
-    return sums.select(*by, digest([F.coalesce(F.pmod(F.col(f"c{i}"), F.lit(p)), F.lit(0)) for i, p in enumerate(PRIMES)]).alias("setsum"))
+    return sums.select(*by, digest([F.coalesce(F.pmod(F.col(f"c{i}"), F.lit(p)), F.lit(0)) for i, p in enumerate(PRIMES)]).alias("checksum"))
 
 
 def digest(columns: list[Column]) -> Column:

@@ -148,11 +148,11 @@ _T_NORMAL = (1.2816, 1.6449, 1.9600, 2.3263, 2.5758, 2.8070)
 
 
 def critical_t(degrees: Column, level: float) -> Column:
-    """The two-sided critical value, by the Cornish-Fisher series about the normal one: within 0.5 % from four degrees of freedom on."""
+    """The two-sided critical value, by the Cornish-Fisher series about the normal one: within 0.5 % from four degrees of freedom on; null without any."""
     nearest = min(range(len(_T_LEVELS)), key=lambda i: abs(_T_LEVELS[i] - level))
     if abs(_T_LEVELS[nearest] - level) > 1:
         raise ValueError(f"no such level: {level}")
-    z, v = _T_NORMAL[nearest], degrees.cast("double")
+    z, v = _T_NORMAL[nearest], F.when(degrees > 0, degrees.cast("double"))
     series = F.lit(z) + (z**3 + z) / 4 / v + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / (v * v) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384 / (v * v * v) + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160 / (v * v * v * v)
     return F.when(v >= 1000, F.lit(z)).otherwise(series)
 

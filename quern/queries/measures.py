@@ -66,6 +66,12 @@ def stat_moments_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(statistics.describe(both), ["n"], ["mean", "variance", "skewness", "kurtosis"], 4)
 
 
+def _student(z: float, v: str) -> str:
+    """Student's critical value by the series about the normal one."""
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    return " + ".join([repr(z), *(f"CAST({t!r} AS DOUBLE) / pow({v}, {i})" for i, t in enumerate(terms, 1))])
+
+
 def _bucket_sql(v: str, sf: int) -> str:
     tens, per = 10 ** (sf - 1), 9 * 10 ** (sf - 1)
     decade = f"CAST(floor(log10({v})) AS INTEGER)"
@@ -131,7 +137,7 @@ def stat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_M + """, b AS (SELECT n AS n0, m1 AS a0, m2 AS q0 FROM s WHERE event_type = 'click')
 SELECT event_type, n, round(m1, 6) AS "mean", round(m1 - a0, 6) AS difference, round(z * sqrt((m2 + q0) / (n + n0 - 2) * (1.0 / n + 1.0 / n0)), 4) AS margin, abs(m1 - a0) > z * sqrt((m2 + q0) / (n + n0 - 2) * (1.0 / n + 1.0 / n0)) AS significant
-FROM (SELECT *, CASE WHEN n + n0 - 2 >= 1000 THEN CAST(1.96 AS DOUBLE) END AS z FROM s, b)""")
+FROM (SELECT *, CASE WHEN n + n0 - 2 >= 1000 THEN CAST(1.96 AS DOUBLE) ELSE """ + _student(1.96, "(n + n0 - 2)") + """ END AS z FROM s, b)""")
 def stat_t_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     tested = statistics.t_test(statistics.moments(table(spark, sf_dir, "events"), ["event_type"], "value"), "event_type", "click")
     return tested.select("event_type", "n", F.round("mean", 6).alias("mean"), (F.round("difference", 6) + 0.0).alias("difference"), F.round("margin", 4).alias("margin"), "significant")
@@ -204,17 +210,17 @@ def mon_counter_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sum_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checksum of every file's records."""
     items = table(spark, sf_dir, "file_records").withColumn("item", F.concat(F.hex("kv_key"), F.lit("@"), F.coalesce("ts", F.lit(0)).cast("string"), F.lit("="), F.coalesce(F.hex("val"), F.lit("~"))))
-    return sketches.setsum(items, "item", ["file_id"])
+    return sketches.multiset_sum(items, "item", ["file_id"])
 
 
 @_query("SELECT store, true AS same FROM file_records GROUP BY store")
 def sum_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the checksums of two halves of each store add up to that of the whole, and take away again."""
     items = table(spark, sf_dir, "file_records").withColumn("item", F.concat(F.hex("kv_key"), F.col("ts").cast("string")))
-    whole = sketches.setsum(items, "item", ["store"])
-    halves = [sketches.setsum(items.filter(f"rec_id % 2 = {i}"), "item", ["store"]).withColumnRenamed("setsum", f"s{i}") for i in (0, 1)]
+    whole = sketches.multiset_sum(items, "item", ["store"])
+    halves = [sketches.multiset_sum(items.filter(f"rec_id % 2 = {i}"), "item", ["store"]).withColumnRenamed("checksum", f"s{i}") for i in (0, 1)]
     both = whole.join(halves[0], "store", "left").join(halves[1], "store", "left").fillna(sketches.EMPTY, ["s0", "s1"])
-    same = (sketches.add_sums(F.col("s0"), F.col("s1")) == F.col("setsum")) & (sketches.add_sums(F.col("setsum"), F.col("s1"), -1) == F.col("s0"))
+    same = (sketches.add_sums(F.col("s0"), F.col("s1")) == F.col("checksum")) & (sketches.add_sums(F.col("checksum"), F.col("s1"), -1) == F.col("s0"))
     return both.select("store", same.alias("same"))
 
 
