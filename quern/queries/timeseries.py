@@ -159,11 +159,11 @@ POINT_SQL = {
     "log2": "CASE WHEN v = 0 THEN CAST('-inf' AS DOUBLE) WHEN v < 0 THEN CAST('nan' AS DOUBLE) ELSE log2(v) END", "recip": "CASE WHEN v = 0 THEN CAST('inf' AS DOUBLE) ELSE 1 / v END", "round": "round(v)", "sign": "CASE WHEN v > 0 THEN 1.0 WHEN v < 0 THEN -1.0 ELSE 0.0 END",
     "signum": "CASE WHEN v < 0 THEN -1.0 ELSE 1.0 END", "sin": "sin(v)", "sinh": "sinh(v)", "sqrt": "CASE WHEN v >= 0 THEN sqrt(v) ELSE CAST('nan' AS DOUBLE) END", "tan": "tan(v)", "tanh": "tanh(v)", "to_radians": "radians(v)", "trunc": _TRUNC,
 }
-# The steep functions are applied to a series' mean, so that six places stay within a double's digits.
+# The steep functions are applied to a logarithm, so that six places stay within a double's digits.
 for how, formula in POINT_SQL.items():
     name = f"ts_point_{how}"
-    QUERIES[name] = partial(language, f"{how}(uniform(mean, counters(:user=3:)))" if how in ("exp", "exp2", "exp_m1", "sinh", "cosh", "tan") else f"{how}(counters(:user=3:))")
-    inner = "SELECT tags, k, avg(v) OVER (PARTITION BY tags) AS v FROM g" if how in ("exp", "exp2", "exp_m1", "sinh", "cosh", "tan") else "SELECT * FROM g"
+    QUERIES[name] = partial(language, f"{how}(ln_1p(counters(:user=3:)))" if how in ("exp", "exp2", "exp_m1", "sinh", "cosh", "tan") else f"{how}(counters(:user=3:))")
+    inner = "SELECT tags, k, ln(1 + v) AS v FROM g" if how in ("exp", "exp2", "exp_m1", "sinh", "cosh", "tan") else "SELECT * FROM g"
     SQL[name] = f"""WITH {_BASE}, {_grid('g', "contains(tags, ':user=3:')")} SELECT tags, k, round({formula}, 6) + 0.0 AS "value" FROM ({inner})"""
 for how, formula in {
     "day": "day(t)", "days_in_month": "day(last_day(t))", "days_in_year": "dayofyear(make_date(year(t), 12, 31))", "hour": "hour(t)", "minute": "minute(t)", "month": "month(t)", "second": "second(t)", "unix_micros": "epoch_us(t)", "weekday": "dayofweek(t) + 1", "year": "year(t)",
