@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,23 +10,41 @@ from quern.operators.prefix import prefix_sums
 
 
 def offsets(text: Column, needle: str) -> Column:
-    """Offsets (from 0) of all matches, overlapping ones too; an empty needle matches at every character. Null text gives null."""
+    """Offsets (from 0) of all matches, overlapping ones too; an empty needle matches at every character. Null text gives null.
+
+    Texts without a match never leave the JVM. The others are searched in Arrow batches, in time that grows
+    with their length: Spark's own substring by position starts over at the front each time.
+    """
     if not needle:
         return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: i - 1)).when(text.isNotNull(), F.array().cast("array<int>"))
-    places = F.sequence(F.lit(1), F.length(text) - len(needle) + 1)
-    hits = F.filter(places, lambda i: F.substring(text, i, F.lit(len(needle))) == needle)
-    # Texts without a match stay at a plain substring test.
-    return F.when(F.contains(text, F.lit(needle)), F.transform(hits, lambda i: i - 1)).when(text.isNotNull(), F.array().cast("array<int>"))
+
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _places(t, needle))
+
+    return F.pandas_udf(find, "array<int>")(text)
+
+
+def _places(text: str, needle: str) -> list[int]:
+    out, at = [], text.find(needle)
+    while at >= 0:
+        out.append(at)
+        at = text.find(needle, at + 1)
+    return out
 
 
 def count(text: Column, needle: str) -> Column:
-    """Matches of the needle, overlapping ones too."""
+    """Matches of the needle, overlapping ones too; in the JVM and in one pass."""
     if not needle:
         return F.length(text)
     if len(needle) == 1 or not any(needle.startswith(needle[i:]) for i in range(1, len(needle))):
         # A needle that can't overlap itself: as many as are taken out.
         return ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
-    return F.size(offsets(text, needle))
+    return F.size(F.regexp_extract_all(text, F.lit(f"(?s)(?={_quoted(needle)})"), F.lit(0)))
+
+
+def _quoted(needle: str) -> str:
+    """The needle as a regular expression."""
+    return "".join(c if c.isalnum() or c.isspace() else "\\" + c for c in needle)
 
 
 def search(records: DataFrame, needle: str, text: str = "text") -> DataFrame:
@@ -90,6 +109,6 @@ def rank_select(symbols: DataFrame, by: list[str], position: str) -> DataFrame:
 
 def next_symbols(records: DataFrame, prefix: str, text: str = "text") -> DataFrame:
     """(symbol, n): what follows the prefix, over all its matches; a match at a text's end has none."""
-    hits = search(records.withColumn("__t", F.col(text)), prefix, text)
-    after = F.substring("__t", F.col("offset") + len(prefix) + 1, F.lit(1))
-    return hits.select(after.alias("symbol")).filter("symbol <> ''").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    held = records.filter(F.contains(F.col(text), F.lit(prefix)))
+    after = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?={_quoted(prefix)}(.))"), F.lit(1))
+    return held.select(F.explode(after).alias("symbol")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))

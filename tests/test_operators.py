@@ -117,6 +117,8 @@ def test_text(spark):
     df = spark.createDataFrame([(0, "aaaa"), (1, ""), (2, None), (3, "banana")], "id bigint, text string")
     assert {x["id"]: x["n"] for x in df.select("id", text.count(F.col("text"), "aa").alias("n")).collect()} == {0: 3, 1: 0, 2: None, 3: 0}
     assert rows(text.search(df, "an").select("id", "offset")) == [(3, 1), (3, 3)]
+    odd = spark.createDataFrame([(1, "a.b\n..c.")], "id bigint, text string")
+    assert odd.select(text.count(F.col("text"), "..")).first()[0] == 1 and rows(text.next_symbols(odd, ".")) == [(".", 1), ("b", 1), ("c", 1)]
     assert text.search(df, "").count() == 10
     probes = spark.createDataFrame([(0,), (4,), (5,), (6,), (9,)], "at bigint")
     assert rows(text.lookup(df, probes, "id")) == [(0, 0, 0), (4, 0, 4), (5, 1, 0), (6, 2, 0), (9, 3, 2)]
