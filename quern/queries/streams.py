@@ -27,16 +27,24 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.read_state(spark, state, last, ["keyspace", "kv_key"]).select("keyspace", F.hex("kv_key").alias("key_hex"), "ts", "batch_pos")
 
 
-def stream_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records counted by the second, with a watermark, and the gaps filled."""
-    events = table(spark, sf_dir, "events").select("ts").filter("ts < timestamp '2024-01-02 00:00:00'")
-    path, out = _staged(events, "events", 1), workspace(spark, "seconds")
+def _seconds(spark: SparkSession, events: DataFrame, files: int) -> DataFrame:
+    path, out = _staged(events, "events", files), workspace(spark, "seconds")
     stream = ingest.per_second(spark.readStream.schema(events.schema).parquet(path), "ts", "0 seconds")
     # Closed windows only: the last second stays open until later records come.
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", workspace(spark, "progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return ingest.fill(spark.read.schema("second timestamp, n bigint").parquet(out)).select(F.unix_micros("second").alias("second_us"), "n")
 
 
+def stream_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the first day counted by the second, with a watermark, and the gaps filled."""
+    return _seconds(spark, table(spark, sf_dir, "events").select("ts").filter("ts < timestamp '2024-01-02 00:00:00'"), 1)
+
+
+def stream_seconds_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the whole table; its files are one batch, so no record comes late."""
+    return _seconds(spark, table(spark, sf_dir, "events").select("ts"), 4)
+
+
 def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last reading of every user's counter, kept as state."""
     events = table(spark, sf_dir, "events").select("user_id", F.lit(5).cast("bigint").alias("counter"), F.col("event_id").alias("at"))
@@ -56,7 +64,7 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("tags", F.unix_millis("ts").alias("ms"), "value")
 
 
-QUERIES = {f.__name__: f for f in (stream_changes, stream_seconds, stream_monitor, stream_metrics)}
+QUERIES = {f.__name__: f for f in (stream_changes, stream_seconds, stream_seconds_all, stream_monitor, stream_metrics)}
 _LAST = "SELECT *, row_number() OVER (PARTITION BY keyspace, kv_key ORDER BY ts DESC, coalesce(batch_pos, -2147483648) DESC) AS rn FROM kv_changes WHERE keyspace IS NOT NULL AND kv_key IS NOT NULL AND ts IS NOT NULL"
 SQL = {
     "stream_changes": f"SELECT keyspace, hex(kv_key) AS key_hex, ts, batch_pos FROM ({_LAST}) WHERE rn = 1 AND val IS NOT NULL AND NOT coalesce(lower(trim(op)) IN ('d', 'del', 'delete'), false)",

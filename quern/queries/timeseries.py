@@ -76,6 +76,16 @@ def ts_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.per_second(events, "ts", start, limit).select(F.unix_micros("second").alias("second_us"), "n")
 
 
+def ts_seconds_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every second of the events' extent, empty seconds included."""
+    events = table(spark, sf_dir, "events")
+    start, limit = series.extent(events).select(F.unix_micros("start"), F.unix_micros("limit")).first()
+    if start is None:
+        return spark.createDataFrame([], "second_us bigint, n bigint")
+    ends = (F.timestamp_micros(F.lit(x)) for x in (start, limit))
+    return series.per_second(events.filter("ts is not null"), "ts", *ends).select(F.unix_micros("second").alias("second_us"), "n")
+
+
 def ts_rendering_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid for a chart of 100 points, aligned to the limit."""
     grid = Params.rendering(START + 1, LIMIT, 100)
@@ -95,7 +105,7 @@ def fn_of_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", *[of_time(n, F.col("ts")).alias(f"t_{n}") for n in OF_TIME], rfc3339(F.col("ts")).alias("rfc3339"))
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (ts_resample, ts_union, ts_relabel, ts_arithmetic, ts_extent, ts_delta, ts_arrays, ts_seconds, ts_rendering_grid, fn_pointwise, fn_of_time)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (ts_resample, ts_union, ts_relabel, ts_arithmetic, ts_extent, ts_delta, ts_arrays, ts_seconds, ts_seconds_all, ts_rendering_grid, fn_pointwise, fn_of_time)}
 
 _BASE = """
 pts AS (SELECT tags, u, arg_max(v, event_id) AS v FROM (SELECT ':__name__=' || event_type || ':user=' || user_id || ':' AS tags, epoch_us(ts) AS u, value AS v, event_id FROM events) GROUP BY tags, u)

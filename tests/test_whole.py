@@ -1,0 +1,45 @@
+"""Queries that take whole tables where others take a part, against their part's SQL without its cut."""
+
+import os
+
+import compare
+import duckdb
+import pytest
+
+from quern import queries as registry
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    c = duckdb.connect()
+    for t in compare.TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
+def without(name, *cuts):
+    """The SQL of a query, each (text, other text) in it changed, which must be there."""
+    sql = registry.all_sql()[name]
+    for cut, other in cuts:
+        assert cut in sql
+        sql = sql.replace(cut, other)
+    return sql
+
+
+def test_stream_seconds_all(spark, con):
+    got = registry.all_queries()["stream_seconds_all"](spark, SF).toArrow().to_pandas().sort_values("second_us", ignore_index=True)
+    want = con.execute(without("stream_seconds", ("WHERE ts < TIMESTAMP '2024-01-02 00:00:00'", ""))).fetch_df().sort_values("second_us", ignore_index=True)
+    assert len(got) > 29 * 86400 and got["n"].sum() > 990
+    assert got["second_us"].tolist() == want["second_us"].tolist() and got["n"].tolist() == want["n"].tolist()
+
+
+def test_ts_seconds_all(spark, con):
+    got = registry.all_queries()["ts_seconds_all"](spark, SF).toArrow().to_pandas().sort_values("second_us", ignore_index=True)
+    n, low, high = con.execute("SELECT count(*), epoch_us(date_trunc('second', min(ts))), epoch_us(date_trunc('second', max(ts))) FROM events").fetchone()
+    held = dict(con.execute("SELECT epoch_us(date_trunc('second', ts)), count(*) FROM events GROUP BY 1").fetchall())
+    assert got["second_us"].tolist() == list(range(low, high + 1, 1_000_000))
+    assert got["n"].sum() == n and got["n"].tolist() == [held.get(u, 0) for u in got["second_us"]]
