@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import histogram
+from quern.operators.prefix import prefix_sums
+from quern.session import materialize
 
 _NAME = r"[a-zA-Z_:][a-zA-Z0-9_:]*"
 _LABEL = r'[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*"(?:[^"\\]|\\.)*"'
@@ -112,6 +114,26 @@ def emit_histogram(hist: DataFrame, by: list[str], sig_figs: int) -> DataFrame:
 
 
 def write(lines: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    """Lines as text files, each metric's TYPE line first and a metric within one file as far as it fits."""
-    sorted_ = lines.repartition("metric").sortWithinPartitions("metric", ~F.col("line").startswith("#"), "line")
-    sorted_.select("line").write.option("maxRecordsPerFile", rows_per_file).text(path)
+    """Lines (metric, line) as text files of at most `rows_per_file` lines, each with the TYPE lines of its metrics before their readings.
+
+    A metric's readings are cut into numbered chunks of at most half of that, and chunks that fit go into
+    one file. Readings of one series at one time stay together, so that the last still wins in its file;
+    only they, or metrics of several kinds, make a file longer. Lines that start with # are
+    repeated at the head of every chunk of their metric; metrics without readings have a chunk of those alone.
+    """
+    if rows_per_file < 2:
+        raise ValueError("a file has a TYPE line and a reading at least")
+    most = rows_per_file // 2
+    held = materialize(lines.filter("line is not null").withColumn("__head", F.col("line").startswith("#")), "lines")
+    series = F.regexp_replace("line", r"\s\S+(\s-?\d+)$", "$1")
+    readings = prefix_sums(held.filter("not __head").withColumn("__series", series), ["metric"], ["__series", "line"], out="__place", spread=F.pmod(F.xxhash64("__series"), F.lit(64)))
+    first = F.min("__place").over(Window.partitionBy("metric", "__series"))
+    cut = materialize(readings.select("metric", "line", "__head", F.floor(first / most).alias("__chunk")), "chunks")
+    heads = held.filter("__head").select("metric", "line", "__head").join(cut.select("metric", "__chunk").distinct(), "metric", "left").withColumn("__chunk", F.coalesce("__chunk", F.lit(0).cast("bigint")))
+    every = cut.unionByName(heads)
+    sizes = every.groupBy("metric", "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    total = sizes.agg(F.sum("__n")).first()[0] or 1
+    per = max(1, min(most, total // int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # few lines are still spread over tasks
+    placed = prefix_sums(sizes, [], ["metric", "__chunk"], weight=F.col("__n"), out="__at").select("metric", "__chunk", F.floor(F.col("__at") / per).cast("int").alias("__file"))
+    numbered = every.join(placed, ["metric", "__chunk"]).repartitionById(-(-total // per), F.col("__file"))
+    numbered.sortWithinPartitions("metric", ~F.col("__head"), "line").select("line").write.text(path)

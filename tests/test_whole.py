@@ -43,3 +43,33 @@ def test_ts_seconds_all(spark, con):
     held = dict(con.execute("SELECT epoch_us(date_trunc('second', ts)), count(*) FROM events GROUP BY 1").fetchall())
     assert got["second_us"].tolist() == list(range(low, high + 1, 1_000_000))
     assert got["n"].sum() == n and got["n"].tolist() == [held.get(u, 0) for u in got["second_us"]]
+
+
+@pytest.mark.parametrize("rows_per_file", [2, 10, 1000])
+def test_exposition_files_stand_alone(spark, rows_per_file):
+    from quern.session import workspace
+    from quern.sources import exposition
+
+    rows = [("hot", i % 7, i // 7, float(i)) for i in range(200)] + [(f"m{i}", 1, 5, float(i)) for i in range(4)]
+    made = spark.createDataFrame(rows, "metric string, host int, s bigint, value double").selectExpr("metric", "map('host', string(host)) AS labels", "'gauge' AS kind", "timestamp_seconds(s) AS ts", "value")
+    path = workspace(spark, "metrics")
+    exposition.write(exposition.emit(made), path, rows_per_file)
+    got = sorted((r["tags"], r["kind"], r["ts"].timestamp(), r["value"]) for r in exposition.read(spark, path).collect())
+    assert got == sorted((f":__name__={m}:host={h}:", "gauge", float(s), v) for m, h, s, v in rows)
+    files = {}
+    for r in spark.read.text(path).selectExpr("_metadata.file_path AS f", "value").collect():
+        files.setdefault(r["f"], []).append(r["value"])
+    for lines in files.values():
+        metrics = {x.split("{")[0] for x in lines if x[0] != "#"}
+        assert len(lines) <= rows_per_file and {x.split()[2] for x in lines if x[0] == "#"} == metrics
+
+
+def test_exposition_readings_at_one_time_share_a_file(spark):
+    from quern.session import workspace
+    from quern.sources import exposition
+
+    made = spark.range(40).selectExpr("'hot' AS metric", "map('host', string(id % 5)) AS labels", "'gauge' AS kind", "timestamp_seconds(1) AS ts", "double(id) AS value")
+    path = workspace(spark, "metrics")
+    exposition.write(exposition.emit(made), path, 6)
+    parsed = exposition.parse(spark.read.text(path).selectExpr("value", "_metadata.file_path AS file")).filter("what = 'reading'")
+    assert parsed.groupBy("labels").agg({"file": "collect_set"}).selectExpr("max(size(`collect_set(file)`))").first()[0] == 1
