@@ -17,6 +17,7 @@ from quern.session import table
 HOUR = 3600 * MICROS
 START, LIMIT, STEP, BACK = series.micros("2024-01-03T00:00:00Z"), series.micros("2024-01-24T00:00:00Z"), 6 * HOUR, 24 * HOUR
 PARAMS = Params(START, LIMIT, STEP)
+STEEP = ("exp", "exp2", "exp_m1", "sinh", "cosh", "tan")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +49,11 @@ def ts_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(series.relabel(series.resample(series.select(samples(spark, sf_dir), ":user=7:"), PARAMS), ":team=a:"))
 
 
+def ts_relabel_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All series under one label."""
+    return _out(series.relabel(series.resample(samples(spark, sf_dir), PARAMS), ":team=a:"))
+
+
 def ts_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arithmetic between two collapsed series, division by zero included."""
     s = samples(spark, sf_dir)
@@ -98,6 +104,18 @@ def fn_pointwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter(F.col("value") < 80).select("event_id", x.alias("x")).select("event_id", *[(F.round(f(F.col("x")), 6) + 0.0).alias(f"v_{n}") for n, f in math.POINTWISE.items()])
 
 
+def fn_pointwise_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same functions over all values, which keep their quarters beyond 14."""
+    x = (F.floor("value") - 25) / F.lit(4.0)
+    return table(spark, sf_dir, "events").select("event_id", x.alias("x")).select("event_id", *[(F.round(f(F.col("x")), 6) + 0.0).alias(f"v_{n}") for n, f in math.POINTWISE.items()])
+
+
+def ts_point_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pointwise functions, a column each, over all series; the steep ones on logarithms as in ts_point_."""
+    grid = series.resample(samples(spark, sf_dir), PARAMS).select("tags", "k", "value", math.POINTWISE["ln_1p"](F.col("value")).alias("log"))
+    return grid.select("tags", "k", *[(F.round(f(F.col("log" if n in STEEP else "value")), 6) + 0.0).alias(f"v_{n}") for n, f in math.POINTWISE.items()])
+
+
 def fn_of_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All functions of time over the events' times."""
     from quern.functions.calendar import OF_TIME, of_time, rfc3339
@@ -105,7 +123,7 @@ def fn_of_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", *[of_time(n, F.col("ts")).alias(f"t_{n}") for n in OF_TIME], rfc3339(F.col("ts")).alias("rfc3339"))
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (ts_resample, ts_union, ts_relabel, ts_arithmetic, ts_extent, ts_delta, ts_arrays, ts_seconds, ts_seconds_all, ts_rendering_grid, fn_pointwise, fn_of_time)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (ts_resample, ts_union, ts_relabel, ts_relabel_all, ts_arithmetic, ts_extent, ts_delta, ts_arrays, ts_seconds, ts_seconds_all, ts_rendering_grid, fn_pointwise, fn_pointwise_all, ts_point_all, fn_of_time)}
 
 _BASE = """
 pts AS (SELECT tags, u, arg_max(v, event_id) AS v FROM (SELECT ':__name__=' || event_type || ':user=' || user_id || ':' AS tags, epoch_us(ts) AS u, value AS v, event_id FROM events) GROUP BY tags, u)

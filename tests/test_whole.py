@@ -73,3 +73,24 @@ def test_exposition_readings_at_one_time_share_a_file(spark):
     exposition.write(exposition.emit(made), path, 6)
     parsed = exposition.parse(spark.read.text(path).selectExpr("value", "_metadata.file_path AS file")).filter("what = 'reading'")
     assert parsed.groupBy("labels").agg({"file": "collect_set"}).selectExpr("max(size(`collect_set(file)`))").first()[0] == 1
+
+
+def test_ts_relabel_all(spark, con):
+    got = registry.all_queries()["ts_relabel_all"](spark, SF).toArrow().to_pandas()
+    want = con.execute(without("ts_relabel", ("contains(tags, ':user=7:')", "true"))).fetch_df()
+    assert compare.rows(got) == compare.rows(want) and len(want) > 5000
+
+
+def test_fn_pointwise_all(spark, con):
+    got = registry.all_queries()["fn_pointwise_all"](spark, SF).toArrow().to_pandas()
+    want = con.execute(without("fn_pointwise", (" WHERE value < 80", ""))).fetch_df()
+    assert compare.rows(got) == compare.rows(want) and len(want) == 1000
+
+
+def test_ts_point_all(spark, con):
+    got = registry.all_queries()["ts_point_all"](spark, SF).toArrow().to_pandas()
+    names = [c[2:] for c in got.columns if c.startswith("v_")]
+    assert {f"ts_point_{n}" for n in names} | {"ts_point_all"} == {q for q in registry.all_queries() if q.startswith("ts_point_")}
+    for n in names:
+        want = con.execute(without(f"ts_point_{n}", ("contains(tags, ':user=3:')", "true"))).fetch_df()
+        assert len(want) > 5000 and compare.rows(got[["tags", "k", f"v_{n}"]].rename(columns={f"v_{n}": "value"})) == compare.rows(want), n
