@@ -236,6 +236,20 @@ def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.scan().select(F.hex("key").alias("key_hex"), F.hex("value").alias("val_hex"))
 
 
+@_query()
+def store_compacted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all keyspaces: a store's key is the keyspace's length in four hexadecimal digits, the keyspace and the key."""
+    space = F.encode("keyspace", "UTF-8")
+    key = F.concat(F.encode(F.lpad(F.hex(F.octet_length(space)), 4, "0"), "UTF-8"), space, F.col("kv_key"))
+    rows = table(spark, sf_dir, "kv_versions").filter("ts is not null").select(key.alias("key"), "ts", F.col("val").alias("value"), "version_id")
+    own = store.Store(spark, workspace(spark, "store"))
+    for half in ("version_id % 2 = 0", "version_id % 2 = 1"):
+        own.ingest(rows.filter(half).drop("version_id"))
+    own.compact()
+    n = F.conv(F.decode(F.substring("key", 1, 4), "UTF-8"), 16, 10).cast("int")
+    return own.scan().select(F.decode(F.substring("key", F.lit(5), n), "UTF-8").alias("keyspace"), F.hex(F.substring("key", n + 5, F.octet_length("key"))).alias("key_hex"), F.hex("value").alias("val_hex"))
+
+
 @_query("SELECT count(DISTINCT user_id) FILTER (WHERE user_id % 2 = 1) AS alive, CAST(2 AS BIGINT) AS last_ts FROM events")
 def store_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of puts and one of deletes; each is seen whole."""

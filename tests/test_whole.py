@@ -94,3 +94,9 @@ def test_ts_point_all(spark, con):
     for n in names:
         want = con.execute(without(f"ts_point_{n}", ("contains(tags, ':user=3:')", "true"))).fetch_df()
         assert len(want) > 5000 and compare.rows(got[["tags", "k", f"v_{n}"]].rename(columns={f"v_{n}": "value"})) == compare.rows(want), n
+
+
+def test_store_compacted_all(spark, con):
+    got = registry.all_queries()["store_compacted_all"](spark, SF).toArrow().to_pandas()
+    want = con.execute(without("store_compacted", ("SELECT hex(kv_key)", "SELECT keyspace, hex(kv_key)"), ("PARTITION BY kv_key", "PARTITION BY keyspace, kv_key"), (" AND keyspace = 'acct'", ""))).fetch_df()
+    assert want["keyspace"].nunique() > 9 and compare.rows(got) == compare.rows(want)
