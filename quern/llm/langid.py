@@ -49,8 +49,6 @@ LANGUAGES = {
 
 #: Rows of each language that the network is trained on, at most; one window of WINDOW characters is cut from each of PARTS places of a row.
 ROWS, PARTS, WINDOW = 1000, 4, 240
-#: Languages with fewer labelled rows than this share of the commonest one's aren't learnt.
-LEAST_SHARE = 0.002
 HIDDEN, STEPS, BATCH, LENGTH, RATE, ROUNDS = 24, 750, 256, 32, 0.05, 3
 #: Bytes labelled together, the neighbourhood that each piece sees on either side, and pieces in step.
 PIECE, AROUND, PIECES = 224, 16, 1024
@@ -70,6 +68,7 @@ def language_code(label: Column) -> Column:
 def training_rows(documents: DataFrame, text: str = "text", label: str = "lang", rows: int = ROWS) -> pd.DataFrame:
     """(code, part) windows of a bounded sample of labelled rows: about `rows` rows of each language, chosen by a hash of the text.
 
+    Every language that a label names is learnt, however rare; one with `rows` rows or less gives all of them.
     A row gives PARTS windows at places spread over the whole text. The driver gets at most about
     1.5 x rows x 25 languages x PARTS windows of 240 characters.
     """
@@ -77,8 +76,7 @@ def training_rows(documents: DataFrame, text: str = "text", label: str = "lang",
     counts = {r["code"]: r["count"] for r in named.groupBy("code").count().collect()}  # at most 25 rows
     if not counts:
         return pd.DataFrame({"code": [], "part": []})
-    least = max(counts.values()) * LEAST_SHARE
-    share = F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) if n >= least for x in (c, min(1.0, rows / n))])
+    share = F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, rows / n))])
     chance = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
     chosen = named.filter(chance < F.coalesce(F.try_element_at(share, F.col("code")), F.lit(0.0)))
     start = lambda k: F.greatest(F.lit(0), F.length("text") - WINDOW) * k / max(1, PARTS - 1)
