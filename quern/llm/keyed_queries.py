@@ -33,7 +33,8 @@ def p1_daily_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = percentiles.states(once, ["tag_set", "day"])
     whole = materialize(percentiles.combine(daily, ["tag_set"]), "states")
     found = percentiles.select(whole, whole.select("tag_set", F.lit(50.0).alias("pct")).distinct(), ["tag_set"])
-    return found.select("tag_set", F.col("total").alias("n"), F.col("n").alias("in_cell"))
+    bounds = (percentiles.key_value(F.col(c)).alias(c) for c in ("least", "greatest"))
+    return found.select("tag_set", F.col("total").alias("n"), F.col("n").alias("in_cell"), *bounds)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
