@@ -59,8 +59,8 @@ def replay(
     Changes are ordered by (ts, position), the commit order of write batches, whatever order they arrived
     in; repeats therefore change nothing. Where `txn_size` names the number of changes of a transaction
     (`txn` columns), incomplete ones are held. Where `seq` is given and the feed isn't sealed, changes
-    behind the first missing number are held, and so is any transaction with such a change: the state is
-    that of the contiguous committed watermark. A sealed feed has ended, so its gaps will not be filled
+    behind the first missing number are held, and so is any transaction with such a change (one repeated under a
+    later number counts by its first): the state is that of the contiguous committed watermark. A sealed feed has ended, so its gaps will not be filled
     and nothing is held. Keys are independent and each is replayed by map-side combining, so a hot key
     costs one row a task. A change with a null key column or null ts never counts, a null position comes
     first in its batch; of different changes at one (ts, position) a delete wins, then the greatest value.
@@ -75,7 +75,8 @@ def replay(
     if seq and not sealed:
         mark = contiguous_watermark(changes, seq, start).first()[0]  # one number, so that the filter reaches the scan
         if txn:
-            late = changes.groupBy(*txn).agg(F.max(seq).alias("__late")).filter(F.col("__late") > mark)
+            once = changes.groupBy(*dict.fromkeys([*txn, *keys, ts, position]), dead.alias("__dead"), F.when(~dead, F.col(value)).alias("__value")).agg(F.min(seq).alias("__first"))
+            late = once.groupBy(*txn).agg(F.max("__first").alias("__late")).filter(F.col("__late") > mark)
             rows = rows.join(late.select(*txn), list(txn), "left_anti")
         rows = rows.filter(F.col(seq) <= mark)
     last = F.max(F.struct(F.col(ts).alias("t"), F.coalesce(F.col(position).cast("bigint"), F.lit(-(2**62))).alias("p"), dead.alias("d"), F.col(position).alias("q"), F.when(~dead, F.col(value)).alias("v"))).alias("__last")

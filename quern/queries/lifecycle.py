@@ -33,7 +33,7 @@ def p2_manifest_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = changefeed.replay(table(spark, sf_dir, "kv_changes"), ["keyspace", "kv_key"], txn=["keyspace", "ts"], seq="change_id", sealed=True)
+    state = changefeed.replay(table(spark, sf_dir, "kv_changes"), ["keyspace", "kv_key"])
     return state.select("keyspace", F.hex("kv_key").alias("key_hex"), "ts", "batch_pos")
 
 
@@ -43,8 +43,8 @@ def p5_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_open_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state as an open feed shows it: only what lies at or before the watermark of change numbers."""
-    state = changefeed.replay(table(spark, sf_dir, "kv_changes"), ["keyspace", "kv_key"], seq="change_id", sealed=False)
+    """The state as an open feed shows it: only what lies at or before the watermark of change numbers, and no batch in part."""
+    state = changefeed.replay(table(spark, sf_dir, "kv_changes"), ["keyspace", "kv_key"], txn=["keyspace", "ts"], seq="change_id", sealed=False)
     return state.select("keyspace", F.hex("kv_key").alias("key_hex"), "ts", "batch_pos", F.hex("val").alias("val_hex"))
 
 

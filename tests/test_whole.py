@@ -100,3 +100,9 @@ def test_store_compacted_all(spark, con):
     got = registry.all_queries()["store_compacted_all"](spark, SF).toArrow().to_pandas()
     want = con.execute(without("store_compacted", ("SELECT hex(kv_key)", "SELECT keyspace, hex(kv_key)"), ("PARTITION BY kv_key", "PARTITION BY keyspace, kv_key"), (" AND keyspace = 'acct'", ""))).fetch_df()
     assert want["keyspace"].nunique() > 9 and compare.rows(got) == compare.rows(want)
+
+
+def test_open_feed_holds_a_batch_cut_by_the_watermark(spark, tmp_path):
+    changes = [(1, "s", b"a", 1, 0, "put", b"1"), (2, "s", b"b", 2, 0, "put", b"2"), (4, "s", b"c", 2, 1, "put", b"3"), (9, "s", b"a", 1, 0, "put", b"1")]
+    spark.createDataFrame([(*c, None) for c in changes], "change_id bigint, keyspace string, kv_key binary, ts bigint, batch_pos int, op string, val binary, log_name string").write.parquet(f"{tmp_path}/kv_changes.parquet")
+    assert [(r["key_hex"], r["val_hex"]) for r in registry.all_queries()["p5_open_state"](spark, str(tmp_path)).collect()] == [("61", "31")]
