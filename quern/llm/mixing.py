@@ -100,6 +100,14 @@ def positions(mixed: DataFrame) -> DataFrame:
     return numbered.drop("__cut")
 
 
+def unused(mixed: DataFrame, documents: DataFrame) -> DataFrame:
+    """(source, held, unused): the tokens of each source's documents, and of those that the mix never takes."""
+    known = documents.select("doc_id", canonical_source(F.col("source")).alias("source"), "n_tokens").filter("doc_id is not null and source is not null")
+    held = known.groupBy("source").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("held"))
+    took = mixed.filter("repeat = 0").groupBy("source").agg(F.sum("n_tokens").alias("__took"))
+    return held.join(took, "source", "left").select("source", "held", (F.col("held") - F.coalesce("__took", F.lit(0))).alias("unused"))
+
+
 def shares(mixed: DataFrame, mix_targets: DataFrame) -> DataFrame:
     """(source, target_share, reached_share, tokens, picks, most_repeats, max_repeats): what the mix came to."""
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("picks"), (F.max("repeat") + 1).alias("most_repeats"))

@@ -19,19 +19,20 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = materialize(tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"]), "sizes")
-    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"))
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"]), "sizes")
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selection with its training positions."""
-    return mixing.positions(_mixed(spark, sf_dir))
+    return mixing.positions(mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares reached."""
-    return mixing.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    """The shares reached, and the tokens that each source has and leaves unused."""
+    sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    mixed = mixing.mix(sizes, targets)
+    return mixing.shares(mixed, targets).join(mixing.unused(mixed, sizes), "source", "left").fillna(0, ["held", "unused"])
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
