@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.prefix import carried, same_keys
+
 #: The spellings of a delete in a feed, in lower case.
 DELETES = ("d", "del", "delete")
-#: Sequence numbers are checked for gaps in blocks of this many, each counted by map-side combining.
-BLOCK = 1 << 16
+#: Sequence numbers are swept in slices of this power of two.
+SLICE_BITS = 16
 
 
 def is_delete(op: Column, value: Column) -> Column:
@@ -18,27 +20,63 @@ def is_delete(op: Column, value: Column) -> Column:
     return F.coalesce(F.lower(F.trim(op)).isin(*DELETES), F.lit(False)) | value.isNull()
 
 
-def contiguous_watermark(changes: DataFrame, seq: str, start: int = 1) -> DataFrame:
-    """One row (watermark): the largest s such that all of start..s have occurred; start - 1 if none.
+def _swept(intervals: DataFrame, start: int) -> DataFrame:
+    """Intervals (s, e) with `reach`: the greatest number covered by those that begin before, at least start - 1.
+
+    Intervals are ordered in slices of 65,536 numbers, and the slices' greatest ends carried over.
+    """
+    rows = intervals.groupBy("s").agg(F.max("e").alias("e")).withColumn("__slice", F.shiftright(F.col("s") - start, SLICE_BITS))
+    before = Window.partitionBy("__slice").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__own", F.max("e").over(before))
+    tops = carried(rows.groupBy("__slice").agg(F.max("e").alias("__end")), [], "__slice", "__end", "__ahead", "max")
+    tops = tops.select(F.col("__slice").alias("__k"), "__ahead")
+    reach = F.greatest(F.coalesce("__own", F.lit(start - 1)), F.coalesce("__ahead", F.lit(start - 1)))
+    return rows.join(tops, F.col("__slice") == F.col("__k")).select("s", "e", reach.alias("reach"))
+
+
+def _numbers(changes: DataFrame, seq: str, start: int) -> DataFrame:
+    n = F.col(seq).cast("bigint")
+    return changes.select(n.alias("s"), n.alias("e")).filter(F.col("s") >= start)
+
 
-    Numbers are counted per block of 65,536 (repeats once), full blocks are followed from the first one,
-    and only the first block that isn't full is looked at number by number. Null numbers and numbers
+def gaps(changes: DataFrame, seq: str, start: int = 1) -> DataFrame:
+    """(first, last): the runs of numbers from `start` on that are missing below the greatest that has occurred.
+
+    What a source declares void when it ends a feed. Null numbers and numbers before the start don't count.
+    """
+    swept = _swept(_numbers(changes, seq, start), start)
+    return swept.filter(F.col("s") > F.col("reach") + 1).select((F.col("reach") + 1).alias("first"), (F.col("s") - 1).alias("last"))
+
+
+def contiguous_watermark(changes: DataFrame, seq: str, start: int = 1, declared: DataFrame | None = None) -> DataFrame:
+    """One row (watermark): the largest s such that each of start..s has occurred or is `declared` void; start - 1 if none.
+
+    `declared` has runs (first, last) of numbers that will never come. Null numbers, empty runs and numbers
     before the start don't count.
     """
-    numbers = changes.select(F.col(seq).cast("bigint").alias("__s")).filter(F.col("__s") >= start).distinct()
-    at = F.floor((F.col("__s") - start) / BLOCK).cast("bigint")
-    blocks = numbers.groupBy(at.alias("__b")).agg(F.count(F.lit(1)).alias("__n"), F.max("__s").alias("__hi"))
-    # Full blocks 0..k-1 have their own rank as number; the ranks run over blocks, 65,536 times fewer than numbers.
-    ordered = blocks.withColumn("__r", F.row_number().over(Window.orderBy("__b")) - 1)
-    full = ordered.filter((F.col("__b") == F.col("__r")) & (F.col("__n") == BLOCK))
-    filled = full.withColumn("__q", F.row_number().over(Window.orderBy("__b")) - 1).filter(F.col("__q") == F.col("__b"))
-    edge = filled.agg(F.coalesce(F.max("__b") + 1, F.lit(0)).alias("__edge"))
-    inside = numbers.withColumn("__b", at).join(F.broadcast(edge), F.col("__b") == F.col("__edge"))
-    order = Window.partitionBy("__b").orderBy("__s")
-    first = F.lit(start) + F.col("__edge") * BLOCK
-    run = inside.withColumn("__r", F.row_number().over(order) - 1).filter(F.col("__s") == first + F.col("__r"))
-    last = run.groupBy("__b").agg(F.max("__s").alias("__last"))
-    return edge.join(last, F.col("__b") == F.col("__edge"), "left").select(F.coalesce("__last", F.lit(start) + F.col("__edge") * BLOCK - 1).alias("watermark"))
+    covered = _numbers(changes, seq, start)
+    if declared is not None:
+        void = declared.select(F.greatest(F.col("first").cast("bigint"), F.lit(start)).alias("s"), F.col("last").cast("bigint").alias("e"))
+        covered = covered.unionByName(void.filter("s <= e"))
+    swept = _swept(covered, start)
+    hole = F.min(F.when(F.col("s") > F.col("reach") + 1, F.col("reach")))
+    return swept.agg(F.coalesce(hole, F.max("e"), F.lit(start - 1)).cast("bigint").alias("watermark"))
+
+
+def held_transactions(changes: DataFrame, txn: Sequence[str], parts: Sequence[str], mark: int | None = None, seq: str | None = None, size: str | None = None) -> DataFrame:
+    """(txn..., have): the transactions that aren't complete.
+
+    A transaction's changes are told apart by `parts` (its keys, the position, what is done). It is held while
+    it has fewer of them than its greatest `size` says, or one whose first number lies behind the watermark
+    `mark`; a change repeated under a later number counts by its first, one without a number is never
+    waited for. Null sizes say nothing. Changes, then transactions are combined task by task.
+    """
+    first = F.min(F.coalesce(F.col(seq).cast("bigint"), F.lit(-(2**62)))) if seq else F.lit(-(2**62))
+    want = F.max(size) if size else F.lit(None).cast("bigint")
+    once = changes.groupBy(*dict.fromkeys([*txn, *parts])).agg(first.alias("__first"), want.alias("__want"))
+    each = once.groupBy(*txn).agg(F.count(F.lit(1)).alias("have"), F.max("__want").alias("__want"), F.max("__first").alias("__late"))
+    late = F.col("__late") > F.lit(mark) if mark is not None else F.lit(False)
+    return each.filter(F.coalesce(F.col("have") < F.col("__want"), F.lit(False)) | late).select(*txn, "have")
 
 
 def replay(
@@ -51,34 +89,37 @@ def replay(
     txn: Sequence[str] | None = None,
     txn_size: str | None = None,
     seq: str | None = None,
-    sealed: bool = True,
+    declared: DataFrame | None = None,
     start: int = 1,
 ) -> DataFrame:
-    """The state of every key that is alive after the feed: keys, ts, position, value.
+    """The state of every key that is alive after the feed's committed part: keys, ts, position, value.
 
     Changes are ordered by (ts, position), the commit order of write batches, whatever order they arrived
-    in; repeats therefore change nothing. Where `txn_size` names the number of changes of a transaction
-    (`txn` columns), incomplete ones are held. Where `seq` is given and the feed isn't sealed, changes
-    behind the first missing number are held, and so is any transaction with such a change (one repeated under a
-    later number counts by its first): the state is that of the contiguous committed watermark. A sealed feed has ended, so its gaps will not be filled
-    and nothing is held. Keys are independent and each is replayed by map-side combining, so a hot key
-    costs one row a task. A change with a null key column or null ts never counts, a null position comes
-    first in its batch; of different changes at one (ts, position) a delete wins, then the greatest value.
+    in; repeats therefore change nothing. Where `seq` is given, the committed part ends at the contiguous
+    watermark of those numbers: a missing number holds all that lies behind it, unless it is `declared` void
+    (runs first, last), as a source does when its feed ends. Where `txn` names the columns of a transaction,
+    complete ones alone are applied, see `held_transactions`; `txn_size` names the number of changes that
+    each must have. Keys are independent and each is replayed by map-side combining, so a hot key costs one
+    row a task. A change with a null key column or null ts never counts, a null position comes first in its
+    batch, a change without a number isn't held by the watermark; of different changes at one (ts, position)
+    a delete wins, then the greatest value.
     """
     dead = is_delete(F.col(op), F.col(value))
     rows = changes.filter(F.col(ts).isNotNull())
     for k in keys:
         rows = rows.filter(F.col(k).isNotNull())
-    if txn and txn_size:
-        whole = rows.select(*txn, *keys, position, txn_size).distinct().groupBy(*txn).agg(F.count(F.lit(1)).alias("__have"), F.max(txn_size).alias("__want"))
-        rows = rows.join(whole.filter(F.col("__have") >= F.col("__want")).select(*txn), list(txn), "left_semi")
-    if seq and not sealed:
-        mark = contiguous_watermark(changes, seq, start).first()[0]  # one number, so that the filter reaches the scan
-        if txn:
-            once = changes.groupBy(*dict.fromkeys([*txn, *keys, ts, position]), dead.alias("__dead"), F.when(~dead, F.col(value)).alias("__value")).agg(F.min(seq).alias("__first"))
-            late = once.groupBy(*txn).agg(F.max("__first").alias("__late")).filter(F.col("__late") > mark)
-            rows = rows.join(late.select(*txn), list(txn), "left_anti")
-        rows = rows.filter(F.col(seq) <= mark)
+    mark = contiguous_watermark(changes, seq, start, declared).first()[0] if seq else None  # one number, so that the filter reaches the scan
+    if txn:
+        done = rows.withColumns({"__done": F.xxhash64(dead, F.when(~dead, F.col(value)))})
+        held = held_transactions(done, txn, [*keys, ts, position, "__done"], mark, seq, txn_size)
+        on = [c for c in txn if c not in (*keys, ts)]  # the others are never null here
+        if on:
+            held = held.select(*[F.col(c).alias(f"__t_{c}") for c in txn])
+            rows = rows.join(held, same_keys(txn, "__t_"), "left_anti")
+        else:
+            rows = rows.join(held.select(*txn), list(txn), "left_anti")
+    if mark is not None:
+        rows = rows.filter(F.col(seq).isNull() | (F.col(seq) <= mark))
     last = F.max(F.struct(F.col(ts).alias("t"), F.coalesce(F.col(position).cast("bigint"), F.lit(-(2**62))).alias("p"), dead.alias("d"), F.col(position).alias("q"), F.when(~dead, F.col(value)).alias("v"))).alias("__last")
     state = rows.groupBy(*keys).agg(last).filter(~F.col("__last.d"))
     return state.select(*keys, F.col("__last.t").alias(ts), F.col("__last.q").alias(position), F.col("__last.v").alias(value))

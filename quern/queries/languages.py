@@ -215,11 +215,16 @@ def src_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select(experiment.alias("experiment"), parameters["user"].alias("user"), files.parameter_kind(parameters["user"]).alias("kind"))
 
 
-@_query("SELECT 'f' || i AS item FROM range(10) t(i) WHERE i % 3 <> 0")
+@_query("SELECT 'f' || file_id AS item, CAST(0 AS BIGINT) AS faults FROM sst_files WHERE file_id IS NOT NULL GROUP BY file_id HAVING max(n_records) >= 5")
 def src_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest's edits applied and rolled over."""
-    edits = spark.range(20).select(F.col("id").alias("edit_id"), F.when((F.col("id") >= 10) & ((F.col("id") - 10) % 3 == 0), "remove").otherwise("add").alias("op"), F.concat(F.lit("f"), (F.col("id") % 10).cast("string")).alias("item"))
-    return files.rollover(spark, edits, workspace(spark, "manifest")).select("item")
+    """The files of a store as edits in two halves: the first rolled over, then that log with the second half, which removes files, rolled over again; verified."""
+    listed = table(spark, sf_dir, "sst_files").groupBy("file_id").agg(F.max("n_records").alias("n")).filter("file_id is not null").withColumn("item", F.concat(F.lit("f"), F.col("file_id").cast("string")))
+    first = listed.select(F.col("file_id").alias("edit_id"), F.lit("add").alias("op"), "item")
+    path = workspace(spark, "manifest")
+    log = files.rollover(spark, first, path)
+    later = listed.filter("n is null or n < 5").select((F.col("file_id") + 1).alias("edit_id"), F.lit("remove").alias("op"), "item")
+    log = files.rollover(spark, log.unionByName(later), path)
+    return log.select("item", F.lit(files.verify_manifest(spark, path).count()).cast("bigint").alias("faults"))
 
 
 # The store.

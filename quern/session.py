@@ -37,10 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a laptop) a folder of this process is made and set.
+    Where that is unset, a local session (tests, a laptop) gets a folder of its own; on a cluster, whose
+    executors would each write to their own disk, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -50,7 +53,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def workspace(spark: SparkSession, purpose: str) -> str:
-    """A new path below the shared folder; it goes when the driver ends."""
+    """A new path below the shared folder; it goes with `release`, at the latest when the driver ends."""
     path = os.path.join(shared_dir(spark), f"quern-{purpose}-{uuid.uuid4().hex}")
     _written.append((spark, path))
     return path
@@ -71,8 +74,10 @@ def hadoop_fs(spark: SparkSession, path: str):
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Deletes what was written to the shared folder so far; results that weren't taken yet are lost with it."""
+    while _written:
+        spark, path = _written.pop()
         try:
             fs, path_of = hadoop_fs(spark, path)
             fs.delete(path_of(path), True)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.compaction import checksum, commit, committed
 from quern.session import hadoop_fs
 
 
@@ -83,10 +86,35 @@ def manifest_edits(edits: DataFrame, order: str = "edit_id", op: str = "op", ite
 
 
 def rollover(spark: SparkSession, edits: DataFrame, path: str) -> DataFrame:
-    """A manifest's log replaced by one that only adds what is left; the old one stays until the new one is in place."""
+    """A manifest's log in the folder `path` replaced by one that only adds what is left: readers (`read_manifest`) get the newest.
+
+    The new log is written beside the old ones and then named by a numbered commit, which of two writers
+    only one can make. Logs before the last two are deleted.
+    """
+    number, state = committed(spark, f"{path}/commits")
+    name = f"log-{uuid.uuid4().hex}"
     kept = manifest_edits(edits).select(F.lit(0).cast("bigint").alias("edit_id"), F.lit("add").alias("op"), "item")
-    kept.write.parquet(f"{path}.new")
-    fs, path_of = hadoop_fs(spark, path)
-    if not fs.rename(path_of(f"{path}.new"), path_of(path)):
-        raise FileExistsError(path)
-    return spark.read.parquet(path)
+    kept.write.parquet(f"{path}/{name}")
+    count, total = spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)), F.coalesce(F.sum(checksum("item")), F.lit(0)).cast("decimal(38,0)")).first()
+    commit(spark, f"{path}/commits/{number + 1:012d}.json", {"log": name, "items": count, "checksum": str(total), "before": state.get("log")})
+    if state.get("before"):
+        fs, path_of = hadoop_fs(spark, path)
+        fs.delete(path_of(f"{path}/{state['before']}"), True)
+    return read_manifest(spark, path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(edit_id, op, item): the newest log of a manifest; empty before the first rollover."""
+    number, state = committed(spark, f"{path}/commits")
+    return spark.read.parquet(f"{path}/{state['log']}") if number else spark.createDataFrame([], "edit_id bigint, op string, item string")
+
+
+def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(fault): what is wrong with the newest log: items added twice or null, edits that aren't additions, other items than were committed. No rows if nothing is."""
+    number, state = committed(spark, f"{path}/commits")
+    if not number:
+        return spark.createDataFrame([], "fault string")
+    log = read_manifest(spark, path)
+    found = log.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(checksum("item")), F.lit(0)).cast("decimal(38,0)").alias("total"), F.countDistinct("item").alias("distinct"), F.count_if(F.col("op") != "add").alias("other"))
+    faults = F.array_compact(F.array(F.when(F.col("distinct") != F.col("n"), "an item is null or added twice"), F.when(F.col("other") > 0, "an edit isn't an addition"), F.when((F.col("n") != state["items"]) | (F.col("total") != F.lit(state["checksum"]).cast("decimal(38,0)")), "the items aren't those committed")))
+    return found.select(F.explode(faults).alias("fault"))

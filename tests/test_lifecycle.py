@@ -56,6 +56,67 @@ def test_bins_hold_their_size(spark):
     assert rows(bins) == rows(compaction.assign_bins(files.repartition(7), 1000)[0])
 
 
+def test_many_tiny_files_fill_one_bin(spark):
+    tiny = spark.range(20_000).selectExpr("id AS file_id", "1000L AS size_bytes")
+    bins, n = compaction.assign_bins(tiny)
+    assert n == 1 and bins.count() == 20_000 and {r[0] for r in bins.select("bin_id").distinct().collect()} == {0}
+
+
+@pytest.mark.parametrize("target", [100_000, 1 << 20])
+def test_bins_of_all_sizes_are_full_and_never_too_full(spark, target):
+    r = random.Random(6)
+    sizes = [(i, int(min(3 * target, r.lognormvariate(4, 3)))) for i in range(8000)]
+    bins, n = compaction.assign_bins(spark.createDataFrame(sizes, "file_id bigint, size_bytes bigint"), target)
+    got = bins.collect()
+    fill, cut = {}, 0
+    for x in got:
+        if x["parts"] == 1:
+            fill[x["bin_id"]] = fill.get(x["bin_id"], 0) + x["size_bytes"]
+        else:
+            cut += x["parts"]
+    assert sorted(x["file_id"] for x in got) == list(range(8000)) and max(fill.values()) <= target
+    assert set(fill) == set(range(len(fill))) and n == len(fill) + cut
+    assert len(fill) <= 1.03 * sum(fill.values()) / target + 1
+
+
+def test_rewriting_in_waves(spark, monkeypatch):
+    monkeypatch.setattr(compaction, "WAVE", 3)
+    df = spark.createDataFrame(records(), RECORD)
+    done = compaction.compact(df, spark.createDataFrame([], "file_id bigint"), IDENTITY, "rec_id", target_bytes=700)
+    assert done.report["bins"] > 3 and done.records.count() == done.report["rows_written"] == len({x[2:6] for x in records()})
+    files = done.records.selectExpr("bin_id", "_metadata.file_name AS f").distinct()
+    assert files.count() == files.select("bin_id").distinct().count() == files.select("f").distinct().count()
+
+
+def test_a_folder_of_files_keeps_every_row(spark):
+    source, target = workspace(spark, "source"), workspace(spark, "target")
+    rows = spark.range(3000).selectExpr("id % 1000 AS a", "CASE WHEN id % 7 = 0 THEN NULL ELSE repeat('x', int(id % 50)) END AS bin_id_text", "map('k', id) AS m")
+    rows.repartition(30).write.option("maxRecordsPerFile", 9).parquet(source)
+    done = compaction.compact_folder(spark, source, target, 40_000)
+    count = lambda df: sorted(df.selectExpr("a", "bin_id_text", "m.k").collect(), key=str)
+    assert count(done.records) == count(spark.read.parquet(source)) and done.bins.count() > 300
+    names = [r[0] for r in done.records.selectExpr("_metadata.file_name").distinct().collect()]
+    assert len(names) <= done.report["bins"] < 40
+    with pytest.raises(Exception, match="exists|EXISTS"):
+        compaction.compact_folder(spark, source, target, 40_000)
+
+
+def test_a_file_that_goes_meanwhile_is_missed(spark, monkeypatch):
+    source, target = workspace(spark, "source"), workspace(spark, "target")
+    spark.range(100).repartition(5).write.parquet(source)
+    own = compaction.assign_bins
+
+    def and_lose(files, size):
+        out = own(files, size)
+        spark.range(7).write.mode("overwrite").parquet(source)
+        return out
+
+    monkeypatch.setattr(compaction, "assign_bins", and_lose)
+    with pytest.raises(Exception):
+        compaction.compact_folder(spark, source, target)
+    assert compaction.committed(spark, target) == (0, {})
+
+
 def test_a_second_commit_fails(spark):
     path = workspace(spark, "commit")
     compaction.commit(spark, f"{path}/C", {"a": 1})
@@ -106,18 +167,51 @@ def test_gaps_and_incomplete_transactions_are_held(spark):
     df = spark.createDataFrame(changes, CHANGE)
     keys = ["keyspace", "kv_key"]
     val = lambda s: sorted((bytes(x["kv_key"]), bytes(x["val"])) for x in s.collect())
-    assert val(changefeed.replay(df, keys, seq="change_id", sealed=False)) == [(b"x", b"3"), (b"y", b"2"), (b"z", b"4")]
-    assert val(changefeed.replay(df.filter("change_id <> 3"), keys, txn=["ts"], seq="change_id", sealed=False)) == [(b"x", b"1"), (b"y", b"2")]
-    assert val(changefeed.replay(df, keys, seq="change_id", sealed=True)) == [(b"x", b"3"), (b"z", b"4")]
+    assert val(changefeed.replay(df, keys, seq="change_id")) == [(b"x", b"3"), (b"y", b"2"), (b"z", b"4")]
+    assert val(changefeed.replay(df.filter("change_id <> 3"), keys, txn=["ts"], seq="change_id")) == [(b"x", b"1"), (b"y", b"2")]
+    assert val(changefeed.replay(df, keys, txn=["keyspace", "ts"], seq="change_id", declared=changefeed.gaps(df, "change_id"))) == [(b"x", b"3"), (b"z", b"4")]
     sized = df.filter("change_id <> 3").withColumn("size", F.when(F.col("ts") == 12, 2).otherwise(1))
     assert val(changefeed.replay(sized, keys, txn=["ts"], txn_size="size")) == [(b"x", b"1")]
 
 
+def test_a_lost_change_holds_what_lies_behind_it(spark):
+    changes = [c for c in feed() if c[0] != 57]
+    keys, txn = ["keyspace", "kv_key"], ["keyspace", "ts"]
+    df = spark.createDataFrame(changes, CHANGE)
+    out = lambda **k: sorted((x[0], bytes(x[1]), x[2], bytes(x[3])) for x in changefeed.replay(df, keys, txn=txn, seq="change_id", **k).select("keyspace", "kv_key", "ts", "val").collect())
+    assert out(declared=changefeed.gaps(df, "change_id")) == naive(changes)
+    mark = 56
+    first = {}
+    for c in changes:
+        dead = c[6] is None or (c[5] or "").strip().lower() in ("d", "del", "delete")
+        if None not in (c[1], c[2], c[3]):
+            part = (c[1], c[2], c[3], c[4], dead, None if dead else c[6])
+            first[part] = min(first.get(part, 10**9), c[0])
+    late = {(p[0], p[2]) for p, s in first.items() if s > mark}
+    shown = [c for c in changes if c[0] <= mark and (c[1], c[3]) not in late]
+    assert out() == naive(shown) != naive(changes)
+    assert changefeed.contiguous_watermark(df, "change_id").first()[0] == mark
+    assert [tuple(x) for x in changefeed.gaps(df, "change_id").collect()] == [(57, 57)]
+
+
+def test_declared_runs_need_not_fit_the_gaps(spark):
+    df = spark.createDataFrame([(x,) for x in (1, 2, 5, 6, 9, 200_000)], "n bigint")
+    void = spark.createDataFrame([(3, 5), (7, 7), (-4, 1), (8, 8), (12, 10), (10, 150_000)], "first bigint, last bigint")
+    assert changefeed.contiguous_watermark(df, "n", declared=void).first()[0] == 150_000
+    assert changefeed.contiguous_watermark(df, "n", declared=void.limit(0)).first()[0] == 2
+
+
+def test_order_does_not_depend_on_the_slices(spark):
+    df = spark.range(500).selectExpr("id", "id % 3 AS g")
+    got = [rows(prefix_sums(df, ["g"], ["id"], bits=b)) for b in (1, 4, 9)]
+    assert got[0] == got[1] == got[2]
+
+
 def test_prefix_sums(spark):
     r = random.Random(5)
     data = [(i, r.choice(["hot", "hot", "hot", "b", None]), r.choice([1, 2, None])) for i in range(300)]
     df = spark.createDataFrame(data, "id bigint, g string, w int")
-    got = {x["id"]: (x["g"], x["before"], x["w"]) for x in prefix_sums(df, ["g"], ["id"], F.col("w"), salts=8).collect()}
+    got = {x["id"]: (x["g"], x["before"], x["w"]) for x in prefix_sums(df, ["g"], ["id"], F.col("w"), bits=3).collect()}
     assert len(got) == 300
     for g in ("hot", "b", None):
         own = sorted((v[1], v[2] or 0) for v in got.values() if v[0] == g)
