@@ -50,6 +50,21 @@ class EliasFano:
     def nbytes(self) -> int:
         return self.high.nbytes + self.zeros.nbytes + self.packed.nbytes
 
+    def to_bytes(self) -> bytes:
+        """The count in 8 bytes, first byte highest, then universe, low bits, length of the unary bits, the bits and the low bits; the directory is made again on reading."""
+        head = self.n.to_bytes(8, "big") + bytes([self.universe, self.low]) + len(self.high).to_bytes(8, "big")
+        return head + self.high.tobytes() + self.packed.tobytes()
+
+    @staticmethod
+    def of_bytes(data: bytes) -> EliasFano:
+        own = EliasFano.__new__(EliasFano)
+        own.n, own.universe, own.low, size = int.from_bytes(data[:8], "big"), data[8], data[9], int.from_bytes(data[10:18], "big")
+        own.high = np.frombuffer(data, np.uint8, size, 18).copy()
+        own.packed = np.frombuffer(data, np.uint8, -1, 18 + size).copy()
+        zeros = (8 - _ONES[own.high]).reshape(-1, BLOCK).sum(1)
+        own.zeros = np.concatenate([[0], np.cumsum(zeros, dtype=np.int64)])
+        return own
+
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
             return np.zeros(len(i), np.uint64)

@@ -7,45 +7,20 @@ where most of its characters are in another language than most of the document's
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bigru import PAD, BiGRU
 
-#: Two-letter codes with their other codes and English names, in lower case.
-LANGUAGES = {
-    "bg": ("bul", "bulgarian"),
-    "cs": ("ces", "cze", "czech"),
-    "da": ("dan", "danish"),
-    "de": ("deu", "ger", "german"),
-    "el": ("ell", "gre", "greek"),
-    "en": ("eng", "english"),
-    "es": ("spa", "spanish", "castilian"),
-    "et": ("est", "estonian"),
-    "fi": ("fin", "finnish"),
-    "fr": ("fra", "fre", "french"),
-    "ga": ("gle", "irish"),
-    "hr": ("hrv", "croatian"),
-    "hu": ("hun", "hungarian"),
-    "it": ("ita", "italian"),
-    "lt": ("lit", "lithuanian"),
-    "lv": ("lav", "latvian"),
-    "mt": ("mlt", "maltese"),
-    "nl": ("nld", "dut", "dutch", "flemish"),
-    "no": ("nor", "nb", "nn", "norwegian"),
-    "pl": ("pol", "polish"),
-    "pt": ("por", "portuguese"),
-    "ro": ("ron", "rum", "romanian"),
-    "sk": ("slk", "slo", "slovak"),
-    "sl": ("slv", "slovenian"),
-    "sv": ("swe", "swedish"),
-}
+#: Further codes and names of languages, beside those that the Java runtime lists for each two-letter code.
+OTHER_CODES = {"alb": "sq", "arm": "hy", "baq": "eu", "bur": "my", "chi": "zh", "cze": "cs", "dut": "nl", "fre": "fr", "geo": "ka", "ger": "de", "gre": "el", "ice": "is", "mac": "mk", "mao": "mi", "may": "ms", "per": "fa", "rum": "ro", "slo": "sk", "tib": "bo", "wel": "cy", "nb": "no", "nn": "no", "nob": "no", "nno": "no", "castilian": "es", "flemish": "nl"}
 
 #: Rows of each language that the network is trained on, at most; one window of WINDOW characters is cut from each of PARTS places of a row.
 ROWS, PARTS, WINDOW = 1000, 4, 240
@@ -56,12 +31,23 @@ PIECE, AROUND, PIECES = 224, 16, 1024
 LEAST_LINE = 20
 
 
+def spellings() -> dict[str, str]:
+    """The two-letter code of every spelling: codes, three-letter codes and English names, in lower case, as the session's Java runtime knows them."""
+    java = SparkSession.active().sparkContext._jvm.java.util.Locale
+    out: dict[str, str] = {}
+    for code in map(str, java.getISOLanguages()):
+        if len(code) == 2:
+            locale = java.forLanguageTag(code)
+            for text in (code, str(locale.getISO3Language()), str(locale.getDisplayLanguage(java.ENGLISH)).lower()):
+                out.setdefault(text, code)
+    return out | OTHER_CODES
+
+
 def language_code(label: Column) -> Column:
-    """The two-letter code that a label names: as code, with region, as three letters or as English name; else null."""
+    """The two-letter code that a label names: as code, with region, as three letters or as English name, of any language; else null."""
     own = F.lower(F.trim(label))
     base = F.when(own.rlike(r"^[a-z]{2,3}([-_].*)?$"), F.regexp_extract(own, r"^[a-z]+", 0)).otherwise(own)
-    spelt = {s: code for code, others in LANGUAGES.items() for s in (code, *others)}
-    names = F.create_map(*[F.lit(x) for pair in spelt.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in sorted(spellings().items()) for x in pair])
     return F.try_element_at(names, base)
 
 
@@ -70,10 +56,10 @@ def training_rows(documents: DataFrame, text: str = "text", label: str = "lang",
 
     Every language that a label names is learnt, however rare; one with `rows` rows or less gives all of them.
     A row gives PARTS windows at places spread over the whole text. The driver gets at most about
-    1.5 x rows x 25 languages x PARTS windows of 240 characters.
+    1.5 x rows x languages x PARTS windows of 240 characters.
     """
     named = documents.select(language_code(F.col(label)).alias("code"), F.col(text).alias("text")).filter("code is not null and length(text) > 0")
-    counts = {r["code"]: r["count"] for r in named.groupBy("code").count().collect()}  # at most 25 rows
+    counts = {r["code"]: r["count"] for r in named.groupBy("code").count().collect()}  # a row for each language
     if not counts:
         return pd.DataFrame({"code": [], "part": []})
     share = F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, rows / n))])
@@ -274,3 +260,16 @@ def find_languages(documents: DataFrame, net: BiGRU | None = None, doc: str = "d
 def mislabelled(found: DataFrame) -> DataFrame:
     """(doc_id, seg_no, found_lang): documents whose label doesn't name the language found, and all lines in another."""
     return found.filter((F.col("seg_no") > 0) | F.col("given").isNull() | (F.col("given") != F.col("found_lang"))).select("doc_id", "seg_no", "found_lang")
+
+
+def save(spark: SparkSession, net: BiGRU, path: str) -> None:
+    """Writes a trained network to a folder of any file system, as one small JSON row."""
+    state = net.state()
+    text = json.dumps({"classes": state["classes"], "hidden": state["hidden"], "parameters": [{"shape": p.shape, "values": p.astype(float).ravel().tolist()} for p in state["parameters"]]})
+    spark.createDataFrame([(text,)], "net string").write.parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> BiGRU:
+    """A network that `save` wrote, equal in every parameter."""
+    state = json.loads(spark.read.parquet(path).first()[0])
+    return BiGRU.of(state | {"parameters": [np.array(p["values"], np.float32).reshape(p["shape"]) for p in state["parameters"]]})

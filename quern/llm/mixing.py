@@ -16,6 +16,8 @@ from quern.session import materialize
 
 #: How far a source's weight moves over the whole time, relative to its share, at most: from 0.5 to 1.5 of it.
 TILT = 1.0
+#: A table of targets of up to this many rows may be broadcast; a longer one is joined as Spark chooses.
+MOST_SOURCES = 100_000
 
 
 def canonical_source(source: Column) -> Column:
@@ -82,8 +84,9 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
     target have no row. The running sums of a source are made in slices, whatever its size.
     """
     rows = documents.select("doc_id", canonical_source(F.col("source")).alias("source"), "n_tokens").filter("doc_id is not null and source is not null and n_tokens > 0")
-    plan = F.broadcast(budgets(rows, mix_targets, total_tokens).select("source", "share", "slope", "max_repeats", "tokens", "budget"))  # a row for each source
-    ordered = prefix_sums(rows, ["source"], ["doc_id", "n_tokens"], weight=F.col("n_tokens"), out="before", salts=256)
+    plan = budgets(rows, mix_targets, total_tokens).select("source", "share", "slope", "max_repeats", "tokens", "budget")  # a row for each source
+    plan = F.broadcast(plan) if mix_targets.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES else plan
+    ordered = prefix_sums(rows, ["source"], ["doc_id", "n_tokens"], weight=F.col("n_tokens"), out="before")
     joined = ordered.join(plan, "source")
     times = F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)).alias("repeat")
     each = joined.select("doc_id", "source", "n_tokens", "share", "slope", "budget", "tokens", "before", times)
@@ -95,7 +98,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
 
 def positions(mixed: DataFrame) -> DataFrame:
     """The mix with `position` from 0 in the order of (due, source, doc_id, repeat): sorted by range, then numbered slice by slice."""
-    held = materialize(mixed.withColumn("__cut", F.floor(F.col("due") * 4096).cast("bigint")), "mix")
+    held = materialize(mixed.withColumn("__cut", F.floor(F.col("due") * (1 << 20)).cast("bigint")), "mix")
     numbered = prefix_sums(held, [], ["due", "source", "doc_id", "repeat"], out="position", spread=F.col("__cut"))
     return numbered.drop("__cut")
 

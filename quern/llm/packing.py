@@ -25,6 +25,8 @@ WINDOW = 512
 #: Combinations enumerated for each size, of two sizes with repeats and of three.
 PAIRS, TRIPLES = 8, 16
 ITERATIONS = 300
+#: Plans of up to this many segments may be broadcast (about 10 MB).
+MOST_SEGMENTS = 200_000
 
 _PLAN = T.StructType([T.StructField(n, T.LongType()) for n in ("pack_id", "size", "first_rank", "per_bin", "first_bin", "bins")])
 
@@ -170,10 +172,11 @@ def pack(sizes: DataFrame, packs: DataFrame) -> DataFrame:
         counts = {r["n_tokens"]: r["count"] for r in histogram if r["pack_id"] == pack_id}
         segments += [(pack_id, *map(int, s)) for s in plan(counts, capacity)[0]]
     table = spark.createDataFrame(pd.DataFrame(segments, columns=_PLAN.names) if segments else [], _PLAN)
-    ranked = prefix_sums(cut, ["pack_id", "n_tokens"], ["doc_id", "piece"], out="rank", salts=32)
+    ranked = prefix_sums(cut, ["pack_id", "n_tokens"], ["doc_id", "piece"], out="rank")
     inside = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("per_bin") * F.col("bins"))
     keyed = table.withColumnsRenamed({"pack_id": "__pack", "size": "__size"})
-    placed = ranked.join(F.broadcast(keyed), (F.col("pack_id") == F.col("__pack")) & (F.col("n_tokens") == F.col("__size")) & inside)
+    keyed = F.broadcast(keyed) if len(segments) <= MOST_SEGMENTS else keyed
+    placed = ranked.join(keyed, (F.col("pack_id") == F.col("__pack")) & (F.col("n_tokens") == F.col("__size")) & inside)
     at = F.col("first_bin") + F.floor((F.col("rank") - F.col("first_rank")) / F.col("per_bin")).cast("bigint")
     return placed.select("pack_id", at.alias("bin_id"), "doc_id", "piece", "first_token", "n_tokens")
 

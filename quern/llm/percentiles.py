@@ -154,17 +154,17 @@ def histogram_boundary(bucket: Column, sig_figs: Column) -> Column:
 
 
 def sample_keys(samples: DataFrame) -> DataFrame:
-    """(g1, g2, __key, __n): finite values that aren't negative, each sample_id once (of different repeats the least value)."""
+    """(g1, g2, __key, __n): finite values that aren't negative, each sample_id once: of repeats that differ one whole row, the least by (g1, g2, value)."""
     good = samples.filter("tags is not null and val >= 0 and not isnan(val) and val < double('infinity')")
     keyed = good.select("sample_id", *tag_ids(F.col("tags")), order_key(F.col("val")).alias("__key"))
-    once = keyed.groupBy("sample_id").agg(F.min("g1").alias("g1"), F.min("g2").alias("g2"), F.min("__key").alias("__key"))
-    return once.select("g1", "g2", "__key", F.lit(1).cast("bigint").alias("__n"))
+    once = keyed.groupBy("sample_id").agg(F.min(F.struct("g1", "g2", "__key")).alias("__one"))
+    return once.select("__one.*", F.lit(1).cast("bigint").alias("__n"))
 
 
 def reading_keys(readings: DataFrame) -> DataFrame:
-    """(g1, g2, __key, __n): the bucket boundaries of valid histogram rows, each reading_id once, weighted by their counts."""
+    """(g1, g2, __key, __n): the bucket boundaries of valid histogram rows, weighted by their counts; each reading_id once, of repeats that differ the least row."""
     good = readings.filter("kind = 'histogram' and sig_figs between 1 and 4 and tags is not null and bucket_counts is not null")
-    once = good.select("reading_id", *tag_ids(F.col("tags")), "sig_figs", "bucket_counts").dropDuplicates(["reading_id"])
+    once = good.groupBy("reading_id").agg(F.min(F.struct(*tag_ids(F.col("tags")), "sig_figs", "bucket_counts")).alias("__one")).select("__one.*")
     cells = once.select("g1", "g2", "sig_figs", F.posexplode("bucket_counts").alias("bucket", "__n")).filter("__n > 0")
     return cells.select("g1", "g2", order_key(histogram_boundary(F.col("bucket").cast("double"), F.col("sig_figs").cast("double"))).alias("__key"), "__n")
 
@@ -180,8 +180,9 @@ def objective_states(samples: DataFrame, readings: DataFrame) -> DataFrame:
 def exceeded(samples: DataFrame, readings: DataFrame, objectives: DataFrame) -> DataFrame:
     """(objective_id, least, greatest, max_val, above): objectives that have values, and whether the percentile lies above.
 
-    `above` is null where max_val falls within the cell of the percentile (0.4 % wide at most); then
-    `exact` would decide. Objectives with a null origin, tags or pct have no row.
+    Where max_val falls within the cell of the percentile (0.4 % wide at most) the states can't tell; then
+    `exact` decides over the rows of those cells, and both bounds are the value itself. `above` is null for a
+    null max_val only. Objectives with a null origin, tags or pct have no row.
     """
     by = ["origin", "g1", "g2"]
     asked = objectives.filter("origin is not null and tags is not null and pct is not null")
@@ -190,4 +191,16 @@ def exceeded(samples: DataFrame, readings: DataFrame, objectives: DataFrame) ->
     found = select(state, asked.select(*by, "pct").distinct(), by)
     both = asked.join(found.select(*by, "pct", key_value(F.col("least")).alias("least"), key_value(F.col("greatest")).alias("greatest")), [*by, "pct"])
     above = F.when(F.col("least") > F.col("max_val"), True).when(F.col("greatest") <= F.col("max_val"), False)
-    return both.select("objective_id", *by, "pct", "least", "greatest", "max_val", above.alias("above"))
+    checked = materialize(both.select("objective_id", *by, "pct", "least", "greatest", "max_val", above.alias("above")), "objectives")
+    open_ = checked.filter("above is null and max_val is not null")
+    if open_.isEmpty():
+        return checked
+    # The states can't tell: the rows behind these cells are followed through the remaining digits.
+    asked = open_.select(*by, "pct").distinct()
+    rows = sample_keys(samples).withColumn("origin", F.lit("samples")).unionByName(reading_keys(readings).withColumn("origin", F.lit("readings")))
+    rows = materialize(rows.join(asked.select(*by).distinct(), by, "left_semi"), "keys")
+    values = exact(rows, found.join(asked, [*by, "pct"], "left_semi"), by)
+    told = checked.join(values, [*by, "pct"], "left")
+    sure = F.coalesce("above", F.col("value") > F.col("max_val"))
+    ends = [F.when(F.col("above").isNull() & F.col("value").isNotNull(), F.col("value")).otherwise(F.col(c)).alias(c) for c in ("least", "greatest")]
+    return told.select("objective_id", *by, "pct", *ends, "max_val", sure.alias("above"))

@@ -1,15 +1,21 @@
-"""Has this key been seen before? Elias-Fano sets of key hashes, one a task, probed in order of arrival."""
+"""Has this key been seen before? Elias-Fano sets of key hashes, one a task, probed in order of arrival.
+
+`seen_before` answers one table; `SeenTable` keeps the sets in files, so that each later batch only moves
+its own keys and the coded sets."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.eliasfano import Seen
+from quern.llm.eliasfano import EliasFano, Seen
+from quern.operators.compaction import commit, committed
+from quern.session import hadoop_fs
 
 #: Hash slots that are kept whole by the shuffle; tasks hold one or more of them.
 SLOTS = 1 << 14
@@ -63,26 +69,38 @@ def _settle_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), pa.array(settled), pa.array(slot)], ["arrival_id", "hash", "settled", "slot"])
 
 
+class _Prober:
+    """Answers arrivals in order of their ids and adds their keys to a growing set."""
+
+    def __init__(self, seen: Seen, bits: int):
+        self.seen, self.bits = seen, bits
+        self.tied, self.tied_id = np.zeros(0, np.uint64), None
+
+    def __call__(self, ids: np.ndarray, hashes: np.ndarray, settled: np.ndarray) -> np.ndarray:
+        got = settled.copy()
+        asked = np.flatnonzero(~settled)
+        if not len(asked):
+            return got
+        a, h = ids[asked], hashes[asked].view(np.uint64) >> np.uint64(64 - self.bits)
+        head, least, which = _heads(a, h)
+        before = self.seen.contains(head)
+        self.seen.add(head[~before])
+        answer = before[which] | (a > least[which])
+        if self.tied_id is not None and len(self.tied):  # rows of one id over the edge of two batches don't precede each other
+            answer &= ~((a == self.tied_id) & np.isin(h, self.tied))
+        last = a.max()
+        here = h[(a == last) & ~answer]
+        self.tied = np.r_[self.tied, here] if last == self.tied_id else here
+        self.tied_id = last
+        got[asked] = answer
+        return got
+
+
 def _answer(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, tied, tied_id = Seen(bits), np.zeros(0, np.uint64), None
+        prober = _Prober(Seen(bits), bits)
         for ids, hashes, settled in _grouped(batches):
-            got = settled.copy()
-            asked = np.flatnonzero(~settled)
-            if len(asked):
-                a, h = ids[asked], hashes[asked].view(np.uint64) >> np.uint64(64 - bits)
-                head, least, which = _heads(a, h)
-                before = seen.contains(head)
-                seen.add(head[~before])
-                answer = before[which] | (a > least[which])
-                if tied_id is not None and len(tied):  # rows of one id over the edge of two batches don't precede each other
-                    answer &= ~((a == tied_id) & np.isin(h, tied))
-                last = a.max()
-                here = h[(a == last) & ~answer]
-                tied = np.r_[tied, here] if last == tied_id else here
-                tied_id = last
-                got[asked] = answer
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(got)], ["arrival_id", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(prober(ids, hashes, settled))], ["arrival_id", "seen"])
 
     return run
 
@@ -142,3 +160,88 @@ def report(arrivals: DataFrame, key: str, arrival: str, warm: DataFrame, warm_ke
     both = told.withColumns({"exact_seen": F.lit(int(exact_seen)).cast("bigint"), "distinct_keys": F.lit(int(distinct_keys)).cast("bigint")})
     wrong = F.col("seen") - F.col("exact_seen")
     return both.select("answered", "seen", "exact_seen", wrong.alias("wrong"), F.when(F.col("answered") > 0, wrong / F.col("answered")).alias("wrong_rate"), (F.col("distinct_keys") / F.lit(2.0**bits)).alias("expected_rate"))
+
+
+#: Sets that a `SeenTable` is made of: the leading bits of the hash name one. Ten billion keys are about 600,000 a set, 5 MB coded.
+PARTS_BITS = 14
+_KEPT = "part int, run int, coded binary"
+_ROWS = "arrival_id bigint, seen boolean, part int, run int, coded binary"
+
+
+def _extend(bits: int):
+    """From rows (part, run, coded, arrival_id, hash, settled), a part's coded runs first: its answers, then its runs as they are after them."""
+
+    def finish(part: int, seen: Seen) -> pa.RecordBatch:
+        n = len(seen.runs)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([r.to_bytes() for r in seen.runs], pa.binary())], ["arrival_id", "seen", "part", "run", "coded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, prober = None, None
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1), len(parts)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if parts[lo] != part:
+                    if prober is not None:
+                        yield finish(part, prober.seen)
+                    part, prober = int(parts[lo]), _Prober(Seen(bits), bits)
+                own = batch.slice(lo, hi - lo)
+                coded = own.column(2).drop_null().to_pylist()
+                prober.seen.runs += [EliasFano.of_bytes(c) for c in coded]
+                own = own.slice(len(coded))
+                if own.num_rows:
+                    ids = own.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+                    told = prober(ids, own.column(4).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(own.column(5).to_pylist(), bool))
+                    n = own.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(told), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["arrival_id", "seen", "part", "run", "coded"])
+        if prober is not None:
+            yield finish(part, prober.seen)
+
+    return run
+
+
+class SeenTable:
+    """Keys seen so far, as coded sets in a folder that lasts; batches are answered one after the other.
+
+    A batch's keys go to the sets of their leading hash bits, are answered in order of arrival and merged in.
+    The new sets and the answers are written before one commit names them, so a batch that failed changes
+    nothing and can be given again. What earlier batches brought moves as coded sets of some 6 bytes a key,
+    never as keys. The sets of the version before the last are deleted; answers stay.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, bits: int = 64):
+        if not PARTS_BITS <= bits <= 64:
+            raise ValueError(f"bits must be within {PARTS_BITS} and 64")
+        self.spark, self.path, self.bits = spark, path, bits
+
+    def _sets(self) -> tuple[int, dict, DataFrame]:
+        number, state = committed(self.spark, f"{self.path}/commits")
+        return number, state, self._read(state["sets"], _KEPT) if number else self.spark.createDataFrame([], _KEPT)
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        fs, path_of = hadoop_fs(self.spark, f"{self.path}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if fs.exists(path_of(f"{self.path}/{name}")) else self.spark.createDataFrame([], schema)
+
+    def answer(self, arrivals: DataFrame, key: str, arrival: str = "arrival_id") -> DataFrame:
+        """(arrival_id, seen) for a batch, as `seen_before` has them: against all earlier batches and this one's smaller ids. Null keys and ids have no row."""
+        number, state, sets = self._sets()
+        rows = arrivals.select(F.col(arrival).cast("bigint").alias("arrival_id"), F.xxhash64(key).alias("hash")).filter(F.col(arrival).isNotNull() & F.col(key).isNotNull())
+        marked = rows.mapInArrow(_settle_locally, _SCHEMA)
+        part = F.shiftrightunsigned(F.when(F.col("settled"), F.xxhash64("arrival_id")).otherwise(F.col("hash")), 64 - PARTS_BITS).cast("int")
+        none = lambda kind: F.lit(None).cast(kind)
+        asked = marked.select(part.alias("part"), none("int").alias("run"), none("binary").alias("coded"), "arrival_id", "hash", "settled")
+        held = sets.select("part", "run", "coded", none("bigint").alias("arrival_id"), none("bigint").alias("hash"), none("boolean").alias("settled"))
+        both = held.unionByName(asked).repartition("part").sortWithinPartitions("part", F.col("run").asc_nulls_last(), "arrival_id")
+        name = f"v-{uuid.uuid4().hex}"
+        both.mapInArrow(_extend(self.bits), _ROWS).withColumn("what", F.when(F.col("part").isNull(), "answers").otherwise("sets")).write.partitionBy("what").parquet(f"{self.path}/{name}")
+        commit(self.spark, f"{self.path}/commits/{number + 1:012d}.json", {"sets": f"{name}/what=sets", "before": state.get("sets")})
+        if state.get("before"):
+            fs, path_of = hadoop_fs(self.spark, self.path)
+            fs.delete(path_of(f"{self.path}/{state['before']}"), True)
+        return self._read(f"{name}/what=answers", "arrival_id bigint, seen boolean")
+
+    def keys(self) -> int:
+        """How many distinct hashes are held; a new key is wrongly called seen with the chance keys / 2^bits."""
+        return int(self._sets()[2].agg(F.coalesce(F.sum(F.conv(F.hex(F.substring("coded", 1, 8)), 16, 10).cast("bigint")), F.lit(0))).first()[0])

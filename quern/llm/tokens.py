@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,8 +16,10 @@ from pyspark.sql import types as T
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the byte-level vocabularies cut a text into words before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts are counted in stretches that end at a line feed or a blank, as one run without blanks is slow to merge.
+#: Longer texts are counted in stretches of about this many characters, so that the tokens of a huge text are never held at once.
 STRETCH = 100_000
+#: A blank or line feed behind a letter or digit always begins a word of the pattern, so a cut there changes no count.
+_CUT = re.compile(r"(?<=\w)[ \n]")
 
 _loaded: dict = {}
 
@@ -33,13 +36,11 @@ def encoder(path: str = VOCABULARY):
 
 
 def stretches(text: str) -> Iterator[str]:
-    """The whole text in pieces of at most STRETCH characters, cut before a line feed or blank where there is one."""
+    """The whole text in pieces that end at the first place behind STRETCH characters where the pattern always cuts; a text without such a place is one piece."""
     at = 0
-    while len(text) - at > STRETCH:
-        cut = max(text.rfind("\n", at + 1, at + STRETCH), text.rfind(" ", at + 1, at + STRETCH))
-        cut = cut if cut > at else at + STRETCH
-        yield text[at:cut]
-        at = cut
+    while len(text) - at > STRETCH and (cut := _CUT.search(text, at + STRETCH)):
+        yield text[at : cut.start()]
+        at = cut.start()
     yield text[at:]
 
 

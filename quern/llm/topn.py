@@ -6,56 +6,70 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Buckets of a large group's histogram of scores.
-BUCKETS = 256
-#: Groups below this many rows are ranked as they are.
-LARGE = 1000
-#: Of larger groups at most this many have a histogram: those with a hundred-thousandth of all rows or more.
-LARGEST = 100_000
+from quern.functions import ordering
+from quern.session import materialize
 
+#: Bits of the fraction in a bucket's number: buckets are 1.6 % wide, in distance from the highest score.
+FRACTION_BITS = 6
+#: The lowest and the highest bucket there can be.
+LOWEST, HIGHEST = -(1 << 20), 1 << 20
+#: Thresholds of up to this many groups may be broadcast; more are joined by group, where Spark splits hot groups.
+BROADCAST_GROUPS = 200_000
 
-def _bucket(score: Column) -> Column:
-    """Never falls as the score rises, so rows of a lower bucket have lower scores."""
-    width = F.col("__hi").cast("double") - F.col("__lo").cast("double") + 1.0
-    return F.floor((score.cast("double") - F.col("__lo").cast("double")) / width * BUCKETS).cast("int")
 
+def ceiling(rows: DataFrame, score: str) -> float:
+    """The highest finite score of all rows; 0 without any."""
+    x = F.col(score).cast("double")
+    return float(rows.agg(F.max(F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x))).first()[0] or 0.0)
 
-def thresholds(rows: DataFrame, by: Sequence[str], score: str, tie: Sequence[str], n: str) -> DataFrame:
-    """(by..., __lo, __hi, __least): for large groups the lowest bucket that a row of the best N can be in.
+
+def bucket(score: Column, top: float) -> Column:
+    """A whole number that never falls as the score rises: the leading digits of its distance below `top`, negated. NaN, which ranks first, is in the highest bucket with infinity."""
+    x = score.cast("double")
+    below = -ordering.slices(F.greatest(F.lit(0.0), F.lit(top) - x), FRACTION_BITS)
+    return F.when(F.isnan(x) | (x == float("inf")), F.lit(HIGHEST)).when(x == float("-inf"), F.lit(LOWEST)).otherwise(below).cast("int")
+
+
+def thresholds(rows: DataFrame, by: Sequence[str], score: str, tie: Sequence[str], n: str, top: float) -> DataFrame:
+    """(by..., __least): for every group that has rows to drop, the lowest bucket that a row of the best N can be in.
 
     A bucket counts as many items as bits are set in a 64-bit mask of its rows' hashed tie keys. That is
     at most the number of distinct items, however often rows are repeated, so the buckets from `__least`
-    up hold N items or more for certain. At most LARGEST groups can have a LARGEST-th of all rows, so
-    the table is bounded and may be broadcast.
+    up hold N items or more for certain. One pass, combined task by task; a group has a few thousand
+    buckets at most.
     """
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(score).alias("__lo"), F.max(score).alias("__hi"), F.max(n).alias("__want"))
-    total = rows.count()
-    large = sizes.filter(F.col("__n") >= max(LARGE, -(-total // LARGEST))).select(*by, "__lo", "__hi", "__want")
     mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(*tie), F.lit(64)).cast("int")))
-    inside = rows.join(F.broadcast(large), list(by))
-    buckets = inside.groupBy(*by, "__lo", "__hi", "__want", _bucket(F.col(score)).alias("__b")).agg(F.bit_count(mask).alias("__items"))
-    above = F.sum("__items").over(Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sure = buckets.withColumn("__above", above).filter(F.col("__above") >= F.col("__want"))
-    return sure.groupBy(*by, "__lo", "__hi").agg(F.max("__b").alias("__least"))
+    buckets = rows.groupBy(*by, bucket(F.col(score), top).alias("__b")).agg(F.bit_count(mask).alias("__items"), F.max(n).alias("__want"))
+    own = Window.partitionBy(*by)
+    above = F.sum("__items").over(own.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sure = buckets.withColumns({"__above": above, "__low": F.min("__b").over(own)}).filter(F.col("__above") >= F.col("__want"))
+    return sure.groupBy(*by).agg(F.max("__b").alias("__least"), F.min("__low").alias("__low")).filter("__least > __low").drop("__low")
 
 
 def top_n(rows: DataFrame, by: Sequence[str], score: str, tie: Sequence[str], n: str, most: int) -> DataFrame:
     """The rows of `rows` that are among the best `n` (a column, constant in a group, `most` at the most) of their group, with `place` from 1.
 
     Higher scores come first, of equal ones the smaller tie keys. Rows of a group that agree in score and
-    tie keys are repeats of one item: they count once and come out once. Rows with a null group column,
-    score or `n` never count, nor does a group with an n below 1; an empty input has an empty result.
-    Large groups lose the rows below their threshold where they are read, and a task ranks its own rows
-    of a group and passes on the best `most` only, so no task ever gets a whole large group.
+    tie keys are repeats of one item: they count once and come out once, with the least of their other
+    columns. Rows with a null group column, score or `n` never count, nor does a group with an n below 1;
+    an empty input has an empty result. Every group loses the rows below its threshold where they are read,
+    repeats are combined task by task, and a task passes on its best `most` rows of a group only, so no
+    task ever gets a whole large group.
     """
     for c in (*by, score, n):
         rows = rows.filter(F.col(c).isNotNull())
     rows = rows.filter(F.col(n) >= 1)
-    marks = thresholds(rows, by, score, tie, n)
-    near = rows.join(F.broadcast(marks), list(by), "left")
-    near = near.filter(F.col("__least").isNull() | (_bucket(F.col(score)) >= F.col("__least"))).drop("__lo", "__hi", "__least")
+    top = ceiling(rows, score)
+    marks = materialize(thresholds(rows, by, score, tie, n, top), "thresholds")
+    marks = F.broadcast(marks) if marks.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else marks
+    near = rows.join(marks, list(by), "left")
+    near = near.filter(F.col("__least").isNull() | (bucket(F.col(score), top) >= F.col("__least"))).drop("__least")
+    keys = [*dict.fromkeys([*by, score, *tie])]
+    rest = [c for c in near.columns if c not in keys]
+    plain = not any(isinstance(near.schema[c].dataType, (T.MapType, T.VariantType)) for c in rest)
+    once = near.groupBy(*keys).agg((F.min if plain else F.any_value)(F.struct(*rest)).alias("__rest")).select(*keys, "__rest.*")
     order = Window.partitionBy(*by).orderBy(F.desc(score), *tie)
-    ranked = near.withColumn("place", F.dense_rank().over(order)).filter(F.col("place") <= most).filter(F.col("place") <= F.col(n))
-    again = F.lag("place").over(order)
-    return ranked.withColumn("__again", F.coalesce(again == F.col("place"), F.lit(False))).filter(~F.col("__again")).drop("__again")
+    ranked = once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).filter(F.col("place") <= F.col(n))
+    return ranked.select(*near.columns, "place")

@@ -98,8 +98,9 @@ def test_short_hashes_only_err_towards_seen(spark):
     assert seen.report(df.limit(0), "last_key", "arrival_id", df.limit(0), "last_key").first()["answered"] == 0
 
 
-def test_top_n_is_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topn, "LARGE", 50)
+@pytest.mark.parametrize("groups", [0, 10])
+def test_top_n_is_brute_force(spark, monkeypatch, groups):
+    monkeypatch.setattr(topn, "BROADCAST_GROUPS", groups)
     r = random.Random(4)
     data = [(i, r.choice(["hot", "hot", "hot", "a", "b", None]), r.choice([r.randrange(5), r.randrange(1000), None]), "__n") for i in range(3000)]
     data += data[::2] + data[::5]
@@ -111,11 +112,60 @@ def test_top_n_is_brute_force(spark, monkeypatch):
         own = sorted({(-s, i) for i, k, s, _ in data if k == g and s is not None})
         want += [(g, p, i) for p, (_, i) in enumerate(own[:n], 1)]
     assert got == sorted(want)
-    marks = {x["g"]: x["__least"] for x in topn.thresholds(df.filter("score is not null and g is not null"), ["g"], "score", ["id"], "n").collect()}
-    assert marks["hot"] > 0
+    good = df.filter("score is not null and g is not null")
+    marks = {x["g"]: x["__least"] for x in topn.thresholds(good, ["g"], "score", ["id"], "n", topn.ceiling(good, "score")).collect()}
+    assert {"hot", "a"} == set(marks)  # small groups too, but not one that keeps all its rows
+    kept = good.filter("g = 'hot'").filter(topn.bucket(F.col("score"), 999.0) >= marks["hot"]).count()
+    assert kept < 0.2 * good.filter("g = 'hot'").count()
     assert topn.top_n(df.limit(0), ["g"], "score", ["id"], "n", 5).count() == 0
 
 
+def test_top_n_of_odd_scores(spark):
+    odd = [float("nan"), float("inf"), float("-inf"), -0.0, 0.0, 1e300, -1e300, 5e-324, 3.0]
+    data = [(g, i, x) for g in range(20) for i, x in enumerate(odd[g % 3 :] * 3)]
+    df = spark.createDataFrame([(*d, 4) for d in data], "g int, id int, score double, n int")
+    got = sorted((x["g"], x["place"], x["id"]) for x in topn.top_n(df, ["g"], "score", ["id"], "n", 4).collect())
+    want = []
+    for g in range(20):
+        own = sorted((((1, 0) if x != x else (0, x + 0.0)), -i, i) for k, i, x in data if k == g)[::-1]
+        want += [(g, p, o[2]) for p, o in enumerate(own[:4], 1)]
+    assert got == sorted(want)
+
+
+def test_objectives_within_a_cell_are_decided_by_the_values(spark):
+    vals = [(i, ":b=1:a=2:", 1000.0 + i / 100) for i in range(101)]
+    samples = spark.createDataFrame([(*v, None) for v in vals] + [(5, ":c=1:", 0.5, None)], "sample_id bigint, tags string, val double, arrived_at timestamp")
+    readings = spark.createDataFrame([(1, ":r=1:", "histogram", 2, [0, 0, 5])], "reading_id bigint, tags string, kind string, sig_figs int, bucket_counts array<bigint>")
+    asked = [(1, "samples", ":a=2:b=1:", 50.0, 1000.49), (2, "samples", ":a=2:b=1:", 50.0, 1000.5), (3, "samples", ":a=2:b=1:", 100.0, 1.0), (4, "samples", ":a=2:b=1:", 50.0, None), (5, "readings", ":r=1:", 50.0, 1.15), (6, "samples", ":no=1:", 50.0, 1.0)]
+    got = {x["objective_id"]: x["above"] for x in percentiles.exceeded(samples, readings, spark.createDataFrame(asked, "objective_id bigint, origin string, tags string, pct double, max_val double")).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: None, 5: True}
+
+
+def test_repeats_that_differ_stay_whole_rows(spark):
+    data = [(1, ":a=1:", 5.0), (1, ":b=2:", 3.0), (1, ":c=3:", 4.0)]
+    df = spark.createDataFrame(data, "sample_id bigint, tags string, val double")
+    row = percentiles.sample_keys(df).first()
+    own = {tuple(x) for x in df.select(*percentiles.tag_ids(F.col("tags")), percentiles.order_key(F.col("val"))).collect()}
+    assert (row["g1"], row["g2"], row["__key"]) in own and percentiles.sample_keys(df).count() == 1
+
+
+def test_sets_kept_between_batches(spark, tmp_path):
+    data = arrivals()
+    schema = "arrival_id bigint, last_key binary, hash string, settled boolean"
+    batches = [[d for d in data if d[0] is not None and d[0] % 5000 // 1500 == b] for b in range(3)]
+    kept, first, got, want = seen.SeenTable(spark, str(tmp_path / "seen")), {}, [], []
+    for rows in batches:
+        got += [(x["arrival_id"], x["seen"]) for x in kept.answer(spark.createDataFrame(rows, schema), "last_key").collect()]
+    for rows in batches:
+        for i, k, *_ in rows:
+            if k is not None:
+                first[k] = min(first.get(k, i), i)
+        want += [(i, i > first[k]) for i, k, *_ in rows if k is not None]
+    assert sorted(got) == sorted(want) and kept.keys() == len(first)
+    assert seen.SeenTable(spark, str(tmp_path / "seen")).answer(spark.createDataFrame([], schema), "last_key").count() == 0
+    assert kept.keys() == len(first)
+
+
 def test_packing_keeps_documents_whole(spark):
     r = random.Random(5)
     sizes = [(i, max(0, int(r.lognormvariate(4, 1.2)))) for i in range(1500)] + [(5000, 64), (5001, 65), (5002, 640), (5003, 0), (5003, 7), (5003, 7)]
@@ -173,9 +223,9 @@ def sentence(r, code, n=14):
 
 
 def test_language_codes(spark):
-    labels = ["en", "EN", "en-GB", "eng", "English", " german ", "deu", "ger", "de_AT", "??", "", None, "und", "spanish", "xx"]
+    labels = ["en", "EN", "en-GB", "eng", "English", " german ", "deu", "ger", "de_AT", "??", "", None, "und", "spanish", "xx", "Japanese", "jpn", "uk-UA", "nb"]
     got = [x[0] for x in spark.createDataFrame([(i, s) for i, s in enumerate(labels)], "i int, s string").orderBy("i").select(langid.language_code(F.col("s"))).collect()]
-    assert got == ["en", "en", "en", "en", "en", "de", "de", "de", "de", None, None, None, None, "es", None]
+    assert got == ["en", "en", "en", "en", "en", "de", "de", "de", "de", None, None, None, None, "es", None, "ja", "ja", "uk", "no"]
 
 
 def test_languages_of_held_out_documents(spark):
@@ -203,6 +253,13 @@ def test_languages_of_held_out_documents(spark):
     assert langid.find_languages(df.limit(0)).count() == 0
 
 
+def test_a_network_is_kept_by_path(spark, tmp_path):
+    net = langid.BiGRU(["a", "b", "c"], 5, 2)
+    langid.save(spark, net, str(tmp_path / "net"))
+    again = langid.load(spark, str(tmp_path / "net"))
+    assert again.classes == net.classes and all((p == q).all() for p, q in zip(net.parameters(), again.parameters(), strict=True))
+
+
 def test_labels_do_not_depend_on_what_stands_together():
     net = langid.BiGRU(["a", "b"], 4, 3)
     data = np.frombuffer(b"some words and more words, again and again. " * 20, np.uint8)
