@@ -156,7 +156,7 @@ def test_replay_is_the_last_change_in_any_order(spark):
     assert changefeed.replay(spark.createDataFrame([], CHANGE), ["keyspace", "kv_key"]).count() == 0
 
 
-@pytest.mark.parametrize("numbers, want", [([], 0), ([2, 3], 0), ([1, 1, 2, 4], 2), ([None, 1, 2, 3], 3), ([*range(1, 65537)], 65536), ([*range(1, 70000), 70005], 69999), ([*range(65537, 65600)], 0)])
+@pytest.mark.parametrize("numbers, want", [([], 0), ([2, 3], 0), ([1, 1, 2, 4], 2), ([None, 1, 2, 3], 3), ([*range(1, 65537)], 65536), ([*range(1, 70000), 70005], 69999), ([*range(65537, 65600)], 0), ([*range(1, 65)], 64), ([*range(1, 64)], 63), ([*range(1, 129), 200], 128), ([*range(1, 300_000), 10**12], 299_999), ([0, -5, 1], 1)])
 def test_contiguous_watermark(spark, numbers, want):
     df = spark.createDataFrame([(x,) for x in numbers], "n bigint")
     assert [x[0] for x in changefeed.contiguous_watermark(df, "n").collect()] == [want]
@@ -194,6 +194,26 @@ def test_a_lost_change_holds_what_lies_behind_it(spark):
     assert [tuple(x) for x in changefeed.gaps(df, "change_id").collect()] == [(57, 57)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_gaps_and_watermarks_are_brute_force(spark, seed):
+    r = random.Random(seed)
+    numbers = sorted({x for a in (r.randrange(1, 3000) for _ in range(60)) for x in range(a, a + r.choice([1, 1, 2, 63, 64, 65, 130]))})
+    df = spark.createDataFrame([(x,) for x in numbers * 2], "n bigint")
+    have, want = set(numbers), []
+    for x in range(1, max(numbers)):
+        if x not in have:
+            if want and want[-1][1] == x - 1:
+                want[-1][1] = x
+            else:
+                want.append([x, x])
+    assert sorted(list(g) for g in changefeed.gaps(df, "n").collect()) == want
+    void = [(a, a + r.choice([0, 1, 60, 63, 64, 127, 128, 400])) for a in (r.randrange(-50, 3000) for _ in range(40))]
+    covered = have | {x for a, b in void for x in range(a, b + 1)}
+    mark = next(x for x in range(1, 10_000) if x not in covered) - 1
+    assert changefeed.contiguous_watermark(df, "n", declared=spark.createDataFrame(void, "first bigint, last bigint")).first()[0] == mark
+    assert changefeed.contiguous_watermark(df, "n", declared=changefeed.gaps(df, "n")).first()[0] == max(numbers)
+
+
 def test_declared_runs_need_not_fit_the_gaps(spark):
     df = spark.createDataFrame([(x,) for x in (1, 2, 5, 6, 9, 200_000)], "n bigint")
     void = spark.createDataFrame([(3, 5), (7, 7), (-4, 1), (8, 8), (12, 10), (10, 150_000)], "first bigint, last bigint")
