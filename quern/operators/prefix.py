@@ -54,10 +54,44 @@ def carried(totals: DataFrame, by: Sequence[str], slot: str, value: str, out: st
     return both.withColumn(out, whole).drop(chunk, "__carry_in", "__carry_top", *[f"__c_{c}" for c in keys])
 
 
-def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: Column | None = None, out: str = "before", bits: int | None = None, spread: Column | None = None) -> DataFrame:
+def order_slices(df: DataFrame, order: Column, bits: int) -> Column:
+    """Which of 2^bits equal stretches of the range of a whole-number order a row lies in; -1 where it is null. The range is read once, for bits above 0."""
+    if not bits:
+        return F.when(order.isNull(), -1).otherwise(0).cast("bigint")
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return F.lit(-1).cast("bigint")
+    width = max(1, -(-(high - low + 1) >> bits))
+    return F.coalesce(F.floor((order - F.lit(low)) / F.lit(width)).cast("bigint"), F.lit(-1).cast("bigint"))
+
+
+def previous(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], out: str, tie: Sequence[str] = (), bits: int | None = None) -> DataFrame:
+    """Adds `out`: a struct of `columns` of the row before in the group's order (order, tie...), null for the first.
+
+    A group is cut into stretches of its order, as many as the planner's estimate of df calls for, and
+    the last row of those before is carried over, so a group of any size is no single task. Small inputs
+    are one stretch. Null group keys are a group; rows with a null order come first.
+    """
+    bits = slice_bits(df, 0, 20) if bits is None else bits
+    at = F.unix_micros(order) if df.schema[order].dataType.typeName().startswith("timestamp") else F.col(order).cast("bigint")
+    mine = F.lag(F.struct(*columns))
+    if not bits:
+        return df.withColumn(out, mine.over(Window.partitionBy(*by).orderBy(order, *tie)))
+    slot = "__stretch"
+    rows = df.withColumn(slot, order_slices(df, at, bits))
+    last = F.max(F.struct(*dict.fromkeys([order, *tie]), F.struct(*columns).alias("__c"))).alias("__last")
+    ends = carried(rows.groupBy(*by, slot).agg(last), by, slot, "__last", "__before", "max")
+    keys = [*by, slot]
+    ends = ends.select(*[F.col(c).alias(f"__k_{c}") for c in keys], "__before")
+    rows = rows.withColumn(out, mine.over(Window.partitionBy(*by, slot).orderBy(order, *tie))).join(ends, same_keys(keys, "__k_"))
+    return rows.withColumn(out, F.coalesce(out, "__before.__c")).drop(slot, "__before", *[f"__k_{c}" for c in keys])
+
+
+def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: Column | None = None, out: str = "before", bits: int | None = None, spread: Column | None = None, hashed: Sequence[str] = ()) -> DataFrame:
     """Adds to each row the sum of weight (1: its rank from 0) over the rows ahead of it in its group.
 
-    Without `spread` a group is ordered by a 64-bit hash of the order columns, then by those. The leading
+    Without `spread` a group is ordered by a 64-bit hash of the order columns (of `hashed`, the first of
+    them, where given, so that rows that agree there stay together), then by those. The leading
     `bits` of the hash are the slice, so however many slices there are (they grow with the planner's
     estimate of df), the order and the result are the same. `spread`, whole numbers that never fall as
     the order rises, gives slices of the order itself instead. A slice is summed by one task, and the
@@ -67,7 +101,7 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], weight:
     w = F.lit(1).cast("bigint") if weight is None else F.coalesce(weight.cast("bigint"), F.lit(0).cast("bigint"))
     slot, at, total, mixed = "__slice", "__weight", "__total", "__hash"
     if spread is None:
-        own = F.xxhash64(*[F.col(c) for c in order])
+        own = F.xxhash64(*[F.col(c) for c in (hashed or order)])
         rows = df.withColumns({mixed: own, slot: F.shiftrightunsigned(own, 64 - (max(1, bits) if bits is not None else slice_bits(df))), at: w})
         along = [mixed, *order]
     else:

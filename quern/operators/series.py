@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import calendar, math, ordering, tags
-from quern.operators.prefix import prefix_sums
+from quern.operators.prefix import prefix_sums, previous, same_keys
 
 MICROS = 1_000_000
 
@@ -113,17 +113,24 @@ def select(samples: DataFrame, wanted: str) -> DataFrame:
     return samples.filter(tags.covers(F.col("tags"), pairs))
 
 
-def of_kind(samples: DataFrame, kind: str) -> DataFrame:
-    """Counters, gauges or histograms, where samples say what they are in `kind`."""
-    return samples.filter(F.col("kind") == kind)
+def fetch(samples: DataFrame, kind: str, wanted: str, start: int, limit: int) -> DataFrame:
+    """The samples of counters, gauges or histograms (what they are is in `kind`) that hold the wanted tags, within [start, limit) microseconds. Nulls never match."""
+    inside = (F.col("ts") >= F.timestamp_micros(F.lit(start))) & (F.col("ts") < F.timestamp_micros(F.lit(limit)))
+    return select(samples.filter((F.col("kind") == kind) & inside), wanted)
 
 
 def upper_median(rows: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """The element of rank n/2 (from 0) of each group, however large: ranks are counted in slices of the values' own order."""
-    sizes = rows.groupBy(*by).agg(F.count(value).alias("__n"))
-    ranked = prefix_sums(rows.filter(F.col(value).isNotNull()), by, [value], out="__rank", spread=ordering.slices(F.col(value)))
-    hit = F.col("__rank") == F.floor(F.col("__n") / 2)
-    return ranked.join(sizes, by).filter(hit).select(*by, value)
+    """The element of rank n/2 (from 0) of each group, however large; nulls don't count.
+
+    Equal values are counted task by task first, and the counts summed up in slices of the values' own order.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    sizes = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    ranked = prefix_sums(counts, by, [value], weight=F.col("__c"), out="__rank", spread=ordering.slices(F.col(value), 10))
+    half = F.floor(F.col("__n") / 2)
+    hit = (F.col("__rank") <= half) & (half < F.col("__rank") + F.col("__c"))
+    sizes = sizes.select(*[F.col(c).alias(f"__g_{c}") for c in by], "__n")
+    return ranked.join(sizes, same_keys(by, "__g_")).filter(hit).select(*by, value)
 
 
 def _stdvar(v: Column) -> Column:
@@ -140,12 +147,15 @@ ACROSS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def aggregate(series: DataFrame, how: str) -> DataFrame:
-    """All series collapsed to one, step by step; its tags are null. Without series there is no row."""
+def aggregate(series: DataFrame, how: str | Callable[[Column], Column]) -> DataFrame:
+    """All series collapsed to one, step by step; its tags are null. Without series there is no row.
+
+    `how` is a name, or any aggregate of Spark as a function of the values' column.
+    """
     if how == "median":
         out = upper_median(series.select("k", "ts", "value"), ["k", "ts"])
     else:
-        out = series.groupBy("k", "ts").agg(ACROSS[how](F.col("value")).alias("value"))
+        out = series.groupBy("k", "ts").agg((ACROSS[how] if isinstance(how, str) else how)(F.col("value")).cast("double").alias("value"))
     return out.select(F.lit(None).cast("string").alias("tags"), "k", "ts", "value")
 
 
@@ -154,12 +164,15 @@ def _sorted_at_half(values: Column) -> Column:
 
 
 def _deviation(values: Column) -> Column:
-    return _sorted_at_half(F.transform(values, lambda x: F.abs(x - _sorted_at_half(values))))
+    """The median of the distances from the median, which is worked out once."""
+    return F.transform(F.array(_sorted_at_half(values)), lambda m: _sorted_at_half(F.transform(values, lambda x: F.abs(x - m))))[0]
 
 
-def _over(frame, how: str, values: Column | None = None) -> Column:
+def _over(frame, how: str | Callable[[Column], Column]) -> Column:
     v = F.col("value")
     collected = F.collect_list(v).over(frame)
+    if not isinstance(how, str):
+        return how(collected).cast("double")
     return {
         "maximum": lambda: F.max(v).over(frame),
         "minimum": lambda: F.min(v).over(frame),
@@ -170,8 +183,8 @@ def _over(frame, how: str, values: Column | None = None) -> Column:
         "stddev": lambda: F.sqrt(F.coalesce(F.var_samp(v).over(frame), F.lit(math.NAN))),
         "median": lambda: _sorted_at_half(collected),
         "median_absolute_deviation": lambda: _deviation(collected),
-        "first": lambda: F.first(v).over(frame),
-        "last": lambda: F.last(v).over(frame),
+        "first": lambda: F.min_by(v, "k").over(frame),
+        "last": lambda: F.max_by(v, "k").over(frame),
     }[how]()
 
 
@@ -179,13 +192,14 @@ ROLLUPS = ("changes", "maximum", "mean", "median", "median_absolute_deviation",
 UNIFORMS = ("first", "last", "maximum", "mean", "median", "median_absolute_deviation", "minimum", "stddev", "stdvar", "sum")
 
 
-def rollup(series: DataFrame, how: str, frame_steps: int, keep_from: int = 0) -> DataFrame:
+def rollup(series: DataFrame, how: str | Callable[[Column], Column], frame_steps: int, keep_from: int = 0) -> DataFrame:
     """Each point from the frame of itself and `frame_steps` points before it; only steps from `keep_from` on stay.
 
-    `changes` is 1 where neighbours in the frame differ, else 0: a flag. A series is at most the grid long,
-    and so is what the median collects.
+    `changes` is 1 where neighbours in the frame differ, else 0: a flag. `how` is a name, or a function of the
+    frame's values as one array column in the order of the steps. A series is at most the grid long,
+    and a frame, which is what medians and functions get, no longer than the lookback.
     """
-    if how not in ROLLUPS:
+    if isinstance(how, str) and how not in ROLLUPS:
         raise ValueError(f"no rollup: {how}")
     along = Window.partitionBy("tags").orderBy("k")
     if how == "changes":
@@ -197,14 +211,33 @@ def rollup(series: DataFrame, how: str, frame_steps: int, keep_from: int = 0) ->
     return out.filter(F.col("k") >= keep_from)
 
 
-def uniform(series: DataFrame, how: str) -> DataFrame:
-    """Each series' single value at all of its steps."""
-    if how not in UNIFORMS:
+def uniform(series: DataFrame, how: str | Callable[[Column], Column]) -> DataFrame:
+    """Each series' single value at all of its steps.
+
+    `how` is a name, or a function of the series' values as one array column in the order of its steps. The
+    medians sort a series once or twice and collect nothing; a series is at most the grid long.
+    """
+    if isinstance(how, str) and how not in UNIFORMS:
         raise ValueError(f"no uniform function: {how}")
-    whole = Window.partitionBy("tags").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    if how == "median":
+        return _whole_median(series, "value", "__median").withColumn("value", F.col("__median")).drop("__median")
+    if how == "median_absolute_deviation":
+        far = _whole_median(series, "value", "__median").withColumn("__far", F.abs(F.col("value") - F.col("__median")))
+        return _whole_median(far, "__far", "value").drop("__far", "__median").select(*series.columns)
+    whole = Window.partitionBy("tags")
+    if not isinstance(how, str):
+        whole = whole.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return series.withColumn("value", _over(whole, how))
 
 
+def _whole_median(series: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds each series' upper median of a column: the one at rank n/2, seen from all its rows."""
+    own = Window.partitionBy("tags")
+    rank, n = F.row_number().over(own.orderBy(value)) - 1, F.count(F.lit(1)).over(own)
+    ranked = series.withColumn("__at_half", F.when(rank == F.floor(n / 2), F.col(value)))
+    return ranked.withColumn(out, F.max("__at_half").over(own)).drop("__at_half")
+
+
 def pointwise(series: DataFrame, how: str | Callable[[Column], Column]) -> DataFrame:
     f = math.POINTWISE[how] if isinstance(how, str) else how
     return series.withColumn("value", f(F.col("value")))
@@ -242,15 +275,30 @@ def series_arrays(series: DataFrame) -> DataFrame:
     return series.groupBy("tags").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda p: p["value"]).alias("points"))
 
 
-def delta_encode(samples: DataFrame) -> DataFrame:
-    """(tags, ts, value, d_ts, dd_ts, d_value): differences and differences of differences along each series, null where there is none before."""
-    along = Window.partitionBy("tags").orderBy("ts", "value")
-    first = samples.withColumn("d_ts", F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(along))).withColumn("d_value", F.col("value") - F.lag("value").over(along))
-    return first.withColumn("dd_ts", F.col("d_ts") - F.lag("d_ts").over(along))
+def delta_encode(samples: DataFrame, bits: int | None = None) -> DataFrame:
+    """(tags, ts, value, d_ts, d_value, dd_ts): differences and differences of differences along each series, null where there is none before. Raw series are cut into stretches of time."""
+    once = previous(samples, ["tags"], "ts", ["ts", "value"], "__b", ["value"], bits)
+    first = once.withColumns({"d_ts": F.unix_micros("ts") - F.unix_micros("__b.ts"), "d_value": F.col("value") - F.col("__b.value")}).drop("__b")
+    twice = previous(first, ["tags"], "ts", ["d_ts"], "__b", ["value"], bits)
+    return twice.withColumn("dd_ts", F.col("d_ts") - F.col("__b.d_ts")).drop("__b")
+
+
+def delta_decode(encoded: DataFrame, start: DataFrame) -> DataFrame:
+    """(tags, n, ts, value) from rows (tags, n, dd_ts, value) numbered from 0 along each series and `start` (tags, ts0, d0).
+
+    The time of row n is ts0 + n d0 plus the sums of the sums of the differences of differences up to n, null
+    ones counting as 0: what `delta_encode` took apart. Both sums are made in slices of the numbers.
+    """
+    rows = encoded.withColumns({"__dd": F.coalesce("dd_ts", F.lit(0)), "__cut": F.floor(F.col("n") / 65536).cast("bigint")})
+    once = prefix_sums(rows, ["tags"], ["n"], weight=F.col("__dd"), out="__d", spread=F.col("__cut")).withColumn("__d", F.col("__d") + F.col("__dd"))
+    twice = prefix_sums(once, ["tags"], ["n"], weight=F.col("__d"), out="__t", spread=F.col("__cut")).withColumn("__t", F.col("__t") + F.col("__d"))
+    first = start.select(F.col("tags").alias("__tags"), F.unix_micros("ts0").alias("__ts0"), F.coalesce("d0", F.lit(0)).alias("__d0"))
+    both = twice.join(first, F.col("tags").eqNullSafe(F.col("__tags")))
+    return both.select("tags", "n", F.timestamp_micros(F.col("__ts0") + F.col("n") * F.col("__d0") + F.col("__t")).alias("ts"), "value")
 
 
-def per_second(records: DataFrame, ts: str, start: Column, limit: Column) -> DataFrame:
-    """(second, n): the number of records of every second in [start, limit), with the empty ones."""
-    grid = records.sparkSession.range(1).select(F.explode(F.sequence(F.date_trunc("second", start), F.date_trunc("second", limit) - F.expr("INTERVAL 1 SECOND"), F.expr("INTERVAL 1 SECOND"))).alias("second"))
+def per_second(records: DataFrame, ts: str, start: int, limit: int) -> DataFrame:
+    """(second, n): the number of records of every second in [start, limit) microseconds, with the empty ones; the seconds are made by all tasks."""
+    grid = records.sparkSession.range(start // MICROS, limit // MICROS).select(F.timestamp_seconds("id").alias("second"))
     held = records.groupBy(F.date_trunc("second", F.col(ts)).alias("second")).agg(F.count(F.lit(1)).alias("n"))
     return grid.join(held, "second", "left").fillna(0, ["n"])

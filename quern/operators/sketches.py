@@ -7,22 +7,27 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.prefix import prefix_sums
+
 #: The modulus of each of the eight columns of a multiset checksum.
 PRIMES = (4294967291, 4294967279, 4294967231, 4294967197, 4294967189, 4294967161, 4294967143, 4294967111)
 EMPTY = "0" * 64
 
 
-def multiset_sum(items: DataFrame, item: str, by: Sequence[str] = (), sign: str | None = None) -> DataFrame:
+def multiset_sum(items: DataFrame, item: str, by: Sequence[str] = (), sign: str | None = None, native: bool = False) -> DataFrame:
     """(by..., checksum): 64 hexadecimal digits that depend on the multiset of the items (binary or string) alone.
 
     Each item's SHA3-256 is eight little-endian 32-bit numbers, added modulo eight primes. Equal multisets
     have equal sums, and sums add and subtract as multisets do; `sign` names a column of 1 and -1 for items
     that come and go. Hashes are made in Arrow batches and summed up in the JVM, task by task first. Null
-    items don't count; without items a group has no row, and the whole of nothing has the sum of zeros.
+    items don't count; without items a group has no row, and the whole of nothing has the sum of zeros. With
+    `native` the hash is SHA-256, which Spark has itself, so nothing leaves the JVM; such sums aren't
+    comparable with the others. Halves of the numbers are summed apart, so that 10^14 items don't overflow.
     """
     names = [*by, *(f"c{i}" for i in range(8))]
     rows = items.filter(F.col(item).isNotNull()).select(*by, F.col(item).cast("binary").alias("__item"), (F.col(sign).cast("bigint") if sign else F.lit(1).cast("bigint")).alias("__sign"))
@@ -34,8 +39,16 @@ def multiset_sum(items: DataFrame, item: str, by: Sequence[str] = (), sign: str
             cells = np.frombuffer(digests, "<u4").reshape(-1, 8).astype(np.int64) * batch.column(len(by) + 1).to_numpy()[:, None]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], *(pa.array(cells[:, i]) for i in range(8))], names)
 
-    sums = rows.mapInArrow(run, schema).groupBy(*by).agg(*[F.sum(F.pmod(F.col(f"c{i}"), F.lit(p))).alias(f"c{i}") for i, p in enumerate(PRIMES)])
-    return sums.select(*by, digest([F.coalesce(F.pmod(F.col(f"c{i}"), F.lit(p)), F.lit(0)) for i, p in enumerate(PRIMES)]).alias("checksum"))
+    if native:
+        hashed = rows.select(*by, "__sign", F.sha2("__item", 256).alias("__h"))
+        cells = hashed.select(*by, *[(c * F.col("__sign")).alias(f"c{i}") for i, c in enumerate(_cells(F.col("__h")))])
+    else:
+        cells = rows.mapInArrow(run, schema)
+    residues = [F.pmod(F.col(f"c{i}"), F.lit(p)) for i, p in enumerate(PRIMES)]
+    halves = [h for i, r in enumerate(residues) for h in (F.sum(F.shiftright(r, 16)).alias(f"h{i}"), F.sum(r.bitwiseAND(F.lit(0xFFFF))).alias(f"l{i}"))]
+    sums = cells.groupBy(*by).agg(*halves)
+    whole = [F.coalesce(F.pmod(F.pmod(F.col(f"h{i}"), F.lit(p)) * 65536 + F.col(f"l{i}"), F.lit(p)), F.lit(0)) for i, p in enumerate(PRIMES)]
+    return sums.select(*by, digest(whole).alias("checksum"))
 
 
 def digest(columns: list[Column]) -> Column:
@@ -134,12 +147,92 @@ def estimate(keys: DataFrame, key: str, sketch: DataFrame, rows: int = 4, width:
     return each.groupBy(key).agg(F.min(F.coalesce("n", F.lit(0.0))).alias("estimate"))
 
 
+def conservative(keys: DataFrame, key: str, rows: int = 4, width: int = 4096) -> DataFrame:
+    """(row, cell, n): a sketch whose cells are only as large as they must be: the greatest estimate of the keys that fall into them.
+
+    Each key's estimate by the plain sketch bounds what it can have been raised to, so a cell needs no more
+    than the greatest of its keys' estimates. Estimates from it are never less than the counts and never more
+    than those of the plain sketch.
+    """
+    plain = estimate(keys, key, frequencies(keys, key, rows=rows, width=width), rows, width)
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("row"), F.pmod(F.xxhash64(F.lit(i), key), F.lit(width)).alias("cell")) for i in range(rows)]))
+    return plain.select("estimate", cells.alias("c")).groupBy("c.row", "c.cell").agg(F.max("estimate").alias("n"))
+
+
+def skipping(files: DataFrame, keys: DataFrame, file: str, key: str, blocks: int = 64) -> DataFrame:
+    """(file, block, words): a split-block filter for every file of `keys` (file, key); `files` without keys have none and are always skipped."""
+    low, block = _block_of(key, blocks)
+    bits = [F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(low, i).cast("int"))).alias(f"w{i}") for i in range(8)]
+    made = keys.filter(F.col(key).isNotNull()).groupBy(file, block.alias("block")).agg(*bits)
+    return made.join(files.select(file).distinct(), file, "left_semi")
+
+
+def candidate_files(filters: DataFrame, file: str, wanted, blocks: int = 64) -> DataFrame:
+    """(file): the files that may hold the key `wanted`; none that does is missing. The block to look at is known while planning, so the filter reaches the scan."""
+    probe = filters.withColumn("__key", F.lit(wanted))
+    low, block = _block_of("__key", blocks)
+    held = F.lit(True)
+    for i in range(8):
+        held = held & (F.call_function("shiftright", F.col(f"w{i}"), _bit(low, i).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return probe.filter((F.col("block") == block) & held).select(file).distinct()
+
+
+def _block_of(key: str, blocks: int) -> tuple[Column, Column]:
+    h = F.xxhash64(key)
+    return F.pmod(h, F.lit(1 << 32)), F.shiftright(F.pmod(F.shiftright(h, 32), F.lit(1 << 32)) * blocks, 32)
+
+
+def crc32c(data: Column) -> Column:
+    """The Castagnoli checksum of bytes, as a bigint; null stays null. Made in Arrow batches, a table look-up a byte, all rows of a batch side by side."""
+    return F.pandas_udf(_crc32c, "bigint")(data.cast("binary"))
+
+
+def _crc32c(values: pd.Series) -> pd.Series:
+    given = [None if v is None else bytes(v) for v in values]
+    sizes = np.array([len(v) if v is not None else 0 for v in given])
+    crc = np.full(len(given), 0xFFFFFFFF, np.uint32)
+    order = np.argsort(-sizes, kind="stable")
+    padded = np.frombuffer(b"".join(v or b"" for v in given), np.uint8)
+    starts = np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else np.zeros(0, int)
+    falling = -sizes[order]
+    for at in range(int(sizes.max(initial=0))):
+        live = order[: np.searchsorted(falling, -at, side="left")]  # those longer than `at`
+        crc[live] = _CRC_TABLE[(crc[live] ^ padded[starts[live] + at]) & 0xFF] ^ (crc[live] >> np.uint32(8))
+    out = pd.Series(crc ^ np.uint32(0xFFFFFFFF), dtype="uint32").astype("int64").astype(object)
+    out[[v is None for v in given]] = None
+    return out
+
+
+def _crc_table(polynomial: int = 0x82F63B78) -> np.ndarray:
+    """Remainders of all bytes for the reflected Castagnoli polynomial."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> np.uint32(1)) ^ np.uint32(polynomial), table >> np.uint32(1)).astype(np.uint32)
+    return table
+
+
+_CRC_TABLE = _crc_table()
+
+
 def should_replace(victim: Column, candidate: Column) -> Column:
     """Whether a cache admits a candidate in place of a victim, by their frequencies."""
     return candidate > victim
 
 
 def generate(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """(id, uniform, normal, exponential, coin, pick, uuid): random rows, the same for the same seed and partitioning. For fixtures."""
-    u = F.rand(seed + 2)
-    return spark.range(n).select("id", F.rand(seed).alias("uniform"), F.randn(seed + 1).alias("normal"), (-F.ln(1 - u)).alias("exponential"), (F.rand(seed + 3) < 0.5).alias("coin"), F.element_at(F.array(*map(F.lit, "abcde")), (F.rand(seed + 4) * 5).cast("int") + 1).alias("pick"), F.uuid().alias("uuid"))
+    """(id, uniform, normal, exponential, poisson, coin, pick, text, uuid, place): random rows, for fixtures.
+
+    Every value is worked out from the seed and the row's id by hashing alone, so the rows are the same
+    however they are partitioned. `poisson` has the mean 3, `place` is the row's place in a shuffle of 0..n-1.
+    """
+    word = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), 11)
+    u = lambda k: word(k).cast("double") / float(1 << 53)
+    normal = F.sqrt(-2 * F.ln(1 - u(1))) * F.cos(2 * math.pi * u(2))
+    limits = [math.exp(-3) * sum(3**j / math.factorial(j) for j in range(k + 1)) for k in range(24)]
+    poisson = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= u(4)))
+    text = F.concat(*[F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (F.pmod(F.shiftright(word(7), 5 * i), F.lit(26)) + 1).cast("int"), F.lit(1)) for i in range(8)])
+    half = F.lower(F.lpad(F.hex(F.xxhash64(F.lit(seed), F.lit(8), F.col("id"))), 16, "0"))
+    rest = F.lower(F.lpad(F.hex(F.xxhash64(F.lit(seed), F.lit(9), F.col("id"))), 16, "0"))
+    uuid = F.concat_ws("-", F.substring(half, 1, 8), F.substring(half, 9, 4), F.concat(F.lit("4"), F.substring(half, 14, 3)), F.concat(F.lit("8"), F.substring(rest, 2, 3)), F.substring(rest, 5, 12))
+    rows = spark.range(n).select("id", u(0).alias("uniform"), normal.alias("normal"), (-F.ln(1 - u(3))).alias("exponential"), poisson.alias("poisson"), (u(5) < 0.5).alias("coin"), F.element_at(F.array(*map(F.lit, "abcde")), (u(6) * 5).cast("int") + 1).alias("pick"), text.alias("text"), uuid.alias("uuid"), F.lit(seed).alias("__seed"))
+    return prefix_sums(rows, [], ["__seed", "id"], out="place").drop("__seed")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,11 +17,20 @@ MOMENTS = ("n", "m1", "m2", "m3", "m4")
 def moments(rows: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """(by..., n, m1, m2, m3, m4): the count, the mean and the sums of powers of the deviations from it.
 
-    Merged from partial sums of powers about each group's own shift, so the shuffle carries a few numbers
-    a task and group. Null values, and weights that are null or not positive, don't count.
+    Without weights one pass: Spark's own central moments are merged task by task, and the shuffle carries a
+    few numbers a task and group. With weights the rows, which are then counts of a histogram's buckets, are
+    read twice: for the mean, and for the deviations from it. Null values, and weights that are null or not
+    positive, don't count; a group of nulls has no row.
     """
-    w = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     x = F.col(value).cast("double")
+    if weight is None:
+        n = F.count(x)
+        d = n.cast("double")
+        m2 = F.coalesce(F.var_pop(x), F.lit(0.0)) * d
+        m3 = F.coalesce(F.skewness(x), F.lit(0.0)) * F.sqrt(m2 * m2 * m2 / d)
+        m4 = F.when(m2 > 0, (F.coalesce(F.kurtosis(x), F.lit(0.0)) + 3.0) * m2 * m2 / d).otherwise(m2)
+        return rows.filter(x.isNotNull()).groupBy(*by).agg(n.alias("n"), F.avg(x).alias("m1"), m2.alias("m2"), m3.alias("m3"), m4.alias("m4")).filter("n > 0")
+    w = F.col(weight).cast("bigint")
     own = rows.select(*by, x.alias("__x"), w.alias("__w")).filter("__x is not null and __w > 0")
     mean = own.groupBy(*by).agg((F.sum(F.col("__x") * F.col("__w")) / F.sum("__w")).alias("__mean"))
     if by:
@@ -142,23 +152,65 @@ def lines(hist: DataFrame, fixed: Sequence[str], independent: str, sig_figs: int
     return hist.groupBy(*fixed, independent).agg((F.sum(b * F.col("n")) / F.sum("n")).alias("mean"))
 
 
+def distribution(hist: DataFrame, by: Sequence[str], sig_figs: int) -> DataFrame:
+    """(by..., value, share): the points of each histogram's distribution function, from (0, 0) on; a group without counts has no row."""
+    points = cumulative(hist, by, sig_figs).filter("total > 0").select(*by, F.col("boundary").alias("value"), "share")
+    first = hist.groupBy(*by).agg(F.sum("n").alias("__n")).filter("__n > 0").select(*by, F.lit(0.0).alias("value"), F.lit(0.0).alias("share"))
+    return first.unionByName(points)
+
+
+def project(rows: DataFrame, names: Sequence[str], keep: Sequence[str] = (), parameters: str = "parameters") -> DataFrame:
+    """The rows with only the named parameters (a map of texts), in the order named, as columns behind `keep`; a row that lacks one is an error."""
+    got = [F.coalesce(F.try_element_at(parameters, F.lit(n)), F.raise_error(F.lit(f"no parameter {n}")).cast("string")).alias(n) for n in names]
+    return rows.select(*keep, *got)
+
+
 #: Two-sided levels in percent and the critical values of the normal distribution for them.
 _T_LEVELS = (80.0, 90.0, 95.0, 98.0, 99.0, 99.5)
 _T_NORMAL = (1.2816, 1.6449, 1.9600, 2.3263, 2.5758, 2.8070)
 
 
 def critical_t(degrees: Column, level: float) -> Column:
-    """The two-sided critical value, by the Cornish-Fisher series about the normal one: within 0.5 % from four degrees of freedom on; null without any."""
+    """The two-sided critical value, by the Cornish-Fisher series about the normal one: beyond thirty degrees of freedom, exact to four places up to there; null without any."""
     nearest = min(range(len(_T_LEVELS)), key=lambda i: abs(_T_LEVELS[i] - level))
     if abs(_T_LEVELS[nearest] - level) > 1:
         raise ValueError(f"no such level: {level}")
     z, v = _T_NORMAL[nearest], F.when(degrees > 0, degrees.cast("double"))
+    few = {k: round(_student(_T_LEVELS[nearest], k), 4) for k in range(1, 31)}
     series = F.lit(z) + (z**3 + z) / 4 / v + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / (v * v) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384 / (v * v * v) + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160 / (v * v * v * v)
-    return F.when(v >= 1000, F.lit(z)).otherwise(series)
+    out = F.when(v >= 1000, F.lit(z))
+    for k, t in few.items():
+        out = out.when(v == k, F.lit(t))
+    return out.otherwise(series)
+
+
+def _student(level: float, degrees: int) -> float:
+    """Student's two-sided critical value for few degrees of freedom, by bisection on the closed form of the distribution."""
+
+    def inside(t: float) -> float:
+        angle = math.atan(t / math.sqrt(degrees))
+        if degrees == 1:
+            return 2 * angle / math.pi
+        c, total, term = math.cos(angle) ** 2, 0.0, 1.0
+        if degrees % 2:
+            for k in range(1, (degrees - 1) // 2 + 1):
+                total += term
+                term *= c * 2 * k / (2 * k + 1)
+            return 2 / math.pi * (angle + math.sin(angle) * math.cos(angle) * total)
+        for k in range(1, degrees // 2 + 1):
+            total += term
+            term *= c * (2 * k - 1) / (2 * k)
+        return math.sin(angle) * total
+
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if inside(middle) < level / 100 else (low, middle)
+    return low
 
 
 def t_test(m: DataFrame, group: str, base, level: float = 95.0) -> DataFrame:
-    """(group, n, mean, difference, margin, significant): each group's mean against that of the group `base`.
+    """(group, n, mean, difference, margin, percent, percent_margin, significant): each group's mean against that of the group `base`, also in percent of that.
 
     The variance is pooled; the margin is null where either group has no value, or there are no degrees of
     freedom. `m` has a row for each group, from `moments`.
@@ -169,7 +221,8 @@ def t_test(m: DataFrame, group: str, base, level: float = 95.0) -> DataFrame:
     degrees = n + float(n0) - 2
     pooled = F.when(degrees > 0, F.try_divide(F.col("m2") + F.lit(m20).cast("double"), degrees))
     margin = critical_t(degrees, level) * F.sqrt(pooled * (F.try_divide(F.lit(1.0), n) + F.lit(1.0 / n0 if n0 else None).cast("double")))
-    return m.select(group, "n", F.col("m1").alias("mean"), d.alias("difference"), margin.alias("margin"), F.coalesce(F.abs(d) > margin, F.lit(False)).alias("significant"))
+    hundredth = F.try_divide(F.lit(100.0), F.abs(F.lit(mean0).cast("double")))
+    return m.select(group, "n", F.col("m1").alias("mean"), d.alias("difference"), margin.alias("margin"), (d * hundredth).alias("percent"), (margin * hundredth).alias("percent_margin"), F.coalesce(F.abs(d) > margin, F.lit(False)).alias("significant"))
 
 
 def sweep(spark: SparkSession, parameters: dict[str, list]) -> DataFrame:

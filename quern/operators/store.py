@@ -34,13 +34,13 @@ class Store:
     def _commit(self, number: int, state: dict) -> None:
         commit(self.spark, f"{self.path}/commits/{number:012d}.json", state)
 
-    def _add(self, rows: DataFrame, number: int, state: dict, ts: int) -> None:
+    def _add(self, rows: DataFrame, number: int, state: dict, ts: int, rows_per_file: int = 0, tokens: dict | None = None) -> None:
         long = rows.filter((F.octet_length("key") > MOST_KEY) | (F.octet_length("value") > MOST_VALUE) | F.col("key").isNull())
         if not long.isEmpty():
             raise ValueError("a key is null or a key or value is too long")
         name = f"runs/{uuid.uuid4().hex}"
-        write_run(rows.select("key", "ts", "value"), f"{self.path}/{name}", ["key"])
-        self._commit(number + 1, {"runs": [*state["runs"], name], "ts": max(ts, state["ts"]), "added": [name]})
+        write_run(rows.select("key", "ts", "value"), f"{self.path}/{name}", ["key"], rows_per_file=rows_per_file)
+        self._commit(number + 1, {"runs": [*state["runs"], name], "ts": max(ts, state["ts"]), "added": [name], "tokens": tokens or state.get("tokens", {})})
 
     def write(self, changes: DataFrame) -> int:
         """A batch of (key, value), null values delete; all get one time, the next one, which is returned. Of several changes of a key the greatest value wins."""
@@ -50,10 +50,16 @@ class Store:
         self._add(one.withColumn("ts", F.lit(ts).cast("bigint")), number, state, ts)
         return ts
 
-    def ingest(self, run: DataFrame) -> None:
-        """Adds records (key, ts, value) with times of their own."""
+    def ingest(self, run: DataFrame, rows_per_file: int = 0, token: tuple[str, int] | None = None) -> None:
+        """Adds records (key, ts, value) with times of their own, in files of at most `rows_per_file` if given.
+
+        A `token` (source, number) is kept with the commit; one that isn't above its source's last adds nothing.
+        """
         number, state = self.head()
-        self._add(run, number, state, run.agg(F.max("ts")).first()[0] or 0)
+        tokens = state.get("tokens", {})
+        if token and tokens.get(token[0], -1) >= token[1]:
+            return
+        self._add(run, number, state, run.agg(F.max("ts")).first()[0] or 0, rows_per_file, tokens | ({token[0]: token[1]} if token else {}))
 
     def records(self) -> DataFrame:
         runs = self.head()[1]["runs"]
@@ -88,7 +94,7 @@ class Store:
         if read[0] != wrote[0] + gone[0] or read[1] != wrote[1] + gone[1]:
             raise CompactionMismatch(f"read {read}, wrote {wrote}, dropped {gone}")
         sums = {"read": str(read[0]), "wrote": str(wrote[0]), "dropped": str(gone[0])}
-        self._commit(number + 1, {"runs": [name], "ts": state["ts"], "compacted": state["runs"], "added": [name], "sums": sums})
+        self._commit(number + 1, {"runs": [name], "ts": state["ts"], "compacted": state["runs"], "added": [name], "sums": sums, "tokens": state.get("tokens", {})})
         return {"read": read[1], "kept": wrote[1], "dropped": gone[1]}
 
     def commits(self) -> list[dict]:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.prefix import prefix_sums
+from quern.operators.prefix import carried, prefix_sums
 
 
 def offsets(text: Column, needle: str) -> Column:
@@ -73,8 +73,8 @@ def lookup(records: DataFrame, global_offsets: DataFrame, order: str, text: str
     own = F.last(pair, ignorenulls=True).over(Window.partitionBy("__slice").orderBy("at", "probe"))
     ends = both.filter("probe = 0").groupBy("__slice").agg(F.max(F.struct(F.col("at").alias("s"), F.col("record").alias("r"))).alias("__end"))
     used = both.select("__slice").distinct().join(ends, "__slice", "left")
-    carried = used.withColumn("__before", F.last("__end", ignorenulls=True).over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))).select("__slice", "__before")
-    found = both.withColumn("__own", own).join(carried, "__slice").withColumn("__hit", F.coalesce("__own", "__before")).filter("probe = 1")
+    before = carried(used, [], "__slice", "__end", "__before", "max").select("__slice", "__before")
+    found = both.withColumn("__own", own).join(before, "__slice").withColumn("__hit", F.coalesce("__own", "__before")).filter("probe = 1")
     return found.select("at", F.col("__hit.r").alias("record"), (F.col("at") - F.col("__hit.s")).alias("offset"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.prefix import carried, order_slices, prefix_sums, previous, same_keys, slice_bits
 from quern.plans import retention
 
 
@@ -85,25 +86,29 @@ def _keep(policy, now: int) -> Column:
     return out
 
 
-def collect_garbage(records: DataFrame, keys: Sequence[str], policy: str, now: int, ts: str = "ts", value: str = "value") -> DataFrame:
+def collect_garbage(records: DataFrame, keys: Sequence[str], policy: str, now: int, ts: str = "ts", value: str = "value", bits: int | None = None) -> DataFrame:
     """The versions that a retention policy keeps.
 
     A version is a value, with the oldest of the tombstones right above it. A value without tombstones
     above costs one, another two; `versions = n` keeps values while their running cost is at most n,
     `ttl_micros = m` those no older than m. Each part of a policy is worked out on the whole history.
-    Tombstones with nothing below them go. Null times don't count; equal versions count once.
+    Tombstones with nothing below them go. Null times don't count; equal versions count once. A key's history
+    is cut into stretches of time, so that no task orders the whole of a large one.
     """
     wanted = retention.parse(policy)
     rows = records.filter(F.col(ts).isNotNull()).select(*keys, ts, value).distinct()
-    newest = Window.partitionBy(*keys).orderBy(F.desc(ts), F.col(value).isNull().desc(), value)
-    above = F.coalesce(F.sum(F.col(value).isNotNull().cast("int")).over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("__grp", above)
-    own = Window.partitionBy(*keys, "__grp")
-    rows = rows.withColumns({"__vts": F.max(F.when(F.col(value).isNotNull(), F.col(ts))).over(own), "__tts": F.min(F.when(F.col(value).isNull(), F.col(ts))).over(own)}).filter("__vts is not null")
-    cost = F.when(F.col(value).isNotNull(), 1 + F.col("__tts").isNotNull().cast("int")).otherwise(0)
-    along = Window.partitionBy(*keys).orderBy("__grp").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = rows.withColumn("__cum", F.sum(cost).over(along)).filter(_keep(wanted, now))
-    return kept.filter(F.col(value).isNotNull() | (F.col(ts) == F.col("__tts"))).select(*keys, ts, value)
+    # Newest first, of one time a tombstone first. A value's tombstone is the row right above it, if that is one.
+    rows = rows.withColumns({"__age": -F.col(ts), "__live": F.col(value).isNotNull()})
+    bits = slice_bits(records, 0, 20) if bits is None else bits
+    near = previous(rows, keys, "__age", [ts, "__live"], "__b", ["__live", value], bits)
+    dead = F.coalesce(~F.col("__b.__live"), F.lit(False))
+    values = near.filter("__live").withColumns({"__tts": F.when(dead, F.col(f"__b.{ts}")), "__vts": F.col(ts), "__cost": 1 + dead.cast("int")})
+    summed = prefix_sums(values, keys, ["__age", value], weight=F.col("__cost"), out="__cum", spread=order_slices(rows, F.col("__age"), bits))
+    kept = summed.withColumn("__cum", F.col("__cum") + F.col("__cost")).filter(_keep(wanted, now))
+    none = F.lit(None).cast(records.schema[value].dataType)
+    both = F.array(F.struct(F.col(ts).alias("t"), F.col(value).alias("v")), F.when(F.col("__tts").isNotNull(), F.struct(F.col("__tts").alias("t"), none.alias("v"))))
+    out = kept.select(*keys, F.explode(F.array_compact(both)).alias("__r"))
+    return out.select(*keys, F.col("__r.t").alias(ts), F.col("__r.v").alias(value))
 
 
 def overlapping(files: DataFrame, low, high, first: str = "first_key", last: str = "last_key") -> DataFrame:
@@ -111,13 +116,28 @@ def overlapping(files: DataFrame, low, high, first: str = "first_key", last: str
     return files.filter((F.col(first) <= F.lit(high)) & (F.col(last) >= F.lit(low)))
 
 
-def as_of_join(probes: DataFrame, records: DataFrame, keys: Sequence[str], probe_ts: str, ts: str = "ts", value: str = "value") -> DataFrame:
+def as_of_join(probes: DataFrame, records: DataFrame, keys: Sequence[str], probe_ts: str, ts: str = "ts", value: str = "value", bits: int | None = None) -> DataFrame:
     """Each probe with the value of its keys at its time (null where there is none yet or it was deleted).
 
-    Probes and versions are ordered together within a key, and a probe takes the last version before it.
+    Times are whole numbers. Probes and versions are ordered together within a key and a stretch of time, and a
+    probe takes the last version before it, from the stretches before if there is none in its own; so a key
+    of any size is no single task. Of versions at one time the greatest value counts. Probes with a null
+    key or time stay, with a null value.
     """
     side = records.filter(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("__at"), F.lit(0).alias("__side"), F.struct(F.col(value).alias("v")).alias("__version"), *[F.lit(None).cast(f.dataType).alias(f"__p_{f.name}") for f in probes.schema if f.name not in keys])
     ask = probes.select(*keys, F.col(probe_ts).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(side.schema["__version"].dataType).alias("__version"), *[F.col(c).alias(f"__p_{c}") for c in probes.columns if c not in keys])
-    along = Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = side.unionByName(ask).withColumn("__found", F.last("__version", ignorenulls=True).over(along)).filter("__side = 1")
+    both = side.unionByName(ask)
+    bits = slice_bits(both, 0, 20) if bits is None else bits
+    both = both.withColumn("__slot", order_slices(both, F.col("__at"), bits))
+    along = Window.partitionBy(*keys, "__slot").orderBy("__at", "__side", "__version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("__found", F.last("__version", ignorenulls=True).over(along))
+    if bits:
+        latest = F.max(F.when(F.col("__side") == 0, F.struct("__at", "__version"))).alias("__latest")
+        ends = carried(both.groupBy(*keys, "__slot").agg(latest), keys, "__slot", "__latest", "__before", "max")
+        ends = ends.select(*[F.col(c).alias(f"__k_{c}") for c in (*keys, "__slot")], "__before")
+        found = found.join(ends, same_keys([*keys, "__slot"], "__k_")).withColumn("__found", F.coalesce("__found", "__before.__version"))
+    unknown = F.col("__at").isNull()
+    for k in keys:
+        unknown = unknown | F.col(k).isNull()
+    both = found.filter("__side = 1").withColumn("__found", F.when(~unknown, F.col("__found")))
     return both.select(*keys, *[F.col(f"__p_{c}").alias(c) for c in probes.columns if c not in keys], F.col("__found.v").alias("value"))

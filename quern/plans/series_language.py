@@ -9,6 +9,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quern.functions import calendar, math
 from quern.operators import series
@@ -118,7 +119,7 @@ def compile_query(query: str | Select | Call | OfTime, samples: DataFrame, param
     if isinstance(node, OfTime):
         return series.function_of_time(samples.sparkSession, node.how, params)
     if isinstance(node, Select):
-        own = series.of_kind(samples, node.kind) if "kind" in samples.columns else samples
+        own = samples.filter(F.col("kind") == node.kind) if "kind" in samples.columns else samples
         return series.union(*[series.resample(series.select(own, name), params) for name in node.names])
     if node.what == "rollup":
         wide = params.back(node.lookback)

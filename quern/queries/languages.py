@@ -230,20 +230,9 @@ def src_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The store.
 
 
-@_query("SELECT hex(kv_key) AS key_hex, hex(val) AS val_hex FROM (SELECT *, row_number() OVER (PARTITION BY kv_key ORDER BY ts DESC, val IS NULL DESC, val DESC) AS rn FROM kv_versions WHERE ts IS NOT NULL AND keyspace = 'acct') WHERE rn = 1 AND val IS NOT NULL")
+@_query("SELECT keyspace, hex(kv_key) AS key_hex, hex(val) AS val_hex FROM (SELECT *, row_number() OVER (PARTITION BY keyspace, kv_key ORDER BY ts DESC, val IS NULL DESC, val DESC) AS rn FROM kv_versions WHERE ts IS NOT NULL) WHERE rn = 1 AND val IS NOT NULL")
 def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs ingested, compacted with verification, and read."""
-    rows = table(spark, sf_dir, "kv_versions").filter("ts is not null and keyspace = 'acct'").select(F.col("kv_key").alias("key"), "ts", F.col("val").alias("value"), "version_id")
-    own = store.Store(spark, workspace(spark, "store"))
-    for half in ("version_id % 2 = 0", "version_id % 2 = 1"):
-        own.ingest(rows.filter(half).drop("version_id"))
-    own.compact()
-    return own.scan().select(F.hex("key").alias("key_hex"), F.hex("value").alias("val_hex"))
-
-
-@_query()
-def store_compacted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for all keyspaces: a store's key is the keyspace's length in four hexadecimal digits, the keyspace and the key."""
+    """Two runs of all keyspaces ingested, compacted with verification, and read: a store's key is the keyspace's length in four hexadecimal digits, the keyspace and the key."""
     space = F.encode("keyspace", "UTF-8")
     key = F.concat(F.encode(F.lpad(F.hex(F.octet_length(space)), 4, "0"), "UTF-8"), space, F.col("kv_key"))
     rows = table(spark, sf_dir, "kv_versions").filter("ts is not null").select(key.alias("key"), "ts", F.col("val").alias("value"), "version_id")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import histogram
-from quern.operators import monitors, sketches, statistics
+from quern.operators import monitors, records, sketches, statistics
 from quern.session import table
 
 QUERIES: dict[str, Callable] = {}
@@ -136,11 +137,31 @@ def stat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(_M + """, b AS (SELECT n AS n0, m1 AS a0, m2 AS q0 FROM s WHERE event_type = 'click')
-SELECT event_type, n, round(m1, 6) AS "mean", round(m1 - a0, 6) AS difference, round(z * sqrt((m2 + q0) / (n + n0 - 2) * (1.0 / n + 1.0 / n0)), 4) AS margin, abs(m1 - a0) > z * sqrt((m2 + q0) / (n + n0 - 2) * (1.0 / n + 1.0 / n0)) AS significant
+SELECT event_type, n, round(m1, 6) AS "mean", round(m1 - a0, 6) AS difference, round(z * sqrt((m2 + q0) / (n + n0 - 2) * (1.0 / n + 1.0 / n0)), 4) AS margin, round((m1 - a0) * 100 / abs(a0), 4) + 0.0 AS percent, round(z * sqrt((m2 + q0) / (n + n0 - 2) * (1.0 / n + 1.0 / n0)) * 100 / abs(a0), 4) AS percent_margin, abs(m1 - a0) > z * sqrt((m2 + q0) / (n + n0 - 2) * (1.0 / n + 1.0 / n0)) AS significant
 FROM (SELECT *, CASE WHEN n + n0 - 2 >= 1000 THEN CAST(1.96 AS DOUBLE) ELSE """ + _student(1.96, "(n + n0 - 2)") + """ END AS z FROM s, b)""")
 def stat_t_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     tested = statistics.t_test(statistics.moments(table(spark, sf_dir, "events"), ["event_type"], "value"), "event_type", "click")
-    return tested.select("event_type", "n", F.round("mean", 6).alias("mean"), (F.round("difference", 6) + 0.0).alias("difference"), F.round("margin", 4).alias("margin"), "significant")
+    return tested.select("event_type", "n", F.round("mean", 6).alias("mean"), (F.round("difference", 6) + 0.0).alias("difference"), F.round("margin", 4).alias("margin"), (F.round("percent", 4) + 0.0).alias("percent"), F.round("percent_margin", 4).alias("percent_margin"), "significant")
+
+
+@_query("SELECT * FROM (VALUES (1, 12.706), (2, 4.303), (3, 3.182), (4, 2.776), (5, 2.571), (6, 2.447), (8, 2.306), (10, 2.228), (20, 2.086), (30, 2.042), (60, 2.0), (120, 1.98), (5000, 1.96)) t(degrees, t95)")
+def stat_t_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Critical values at 95 %, as tables of the distribution print them."""
+    degrees = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5, 6, 8, 10, 20, 30, 60, 120, 5000)], "degrees int")
+    return degrees.select("degrees", (F.round(statistics.critical_t(F.col("degrees"), 95.0), 3) + 0.0).alias("t95"))
+
+
+@_query(f"WITH {_H}, c AS (SELECT event_type, {_boundary_sql('bucket', 2)} AS v, sum(n) OVER (PARTITION BY event_type ORDER BY bucket) / sum(n) OVER (PARTITION BY event_type) AS s FROM h) SELECT event_type, round(v, 6) AS \"value\", round(s, 6) AS share FROM c UNION ALL SELECT DISTINCT event_type, 0.0, 0.0 FROM h")
+def stat_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of each type's distribution function, from (0, 0)."""
+    return _rounded(statistics.distribution(_hist(spark, sf_dir), ["event_type"], 2), ["event_type"], ["value", "share"])
+
+
+@_query("SELECT event_id, CAST(user_id AS VARCHAR) AS user, event_type AS kind FROM events")
+def stat_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three parameters, in the order asked for."""
+    made = F.create_map(F.lit("kind"), "event_type", F.lit("user"), F.col("user_id").cast("string"), F.lit("size"), F.lit("1"))
+    return statistics.project(table(spark, sf_dir, "events").withColumn("parameters", made), ["user", "kind"], ["event_id"])
 
 
 @_query("SELECT a AS size, b AS mode, c AS threads FROM (VALUES (1), (2), (4)) x(a), (VALUES ('r'), ('w')) y(b), (VALUES (1), (8)) z(c)")
@@ -190,7 +211,7 @@ def mon_above(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""WITH reset AS (SELECT user_id, max(event_id) AS r FROM events WHERE event_type = 'signup' GROUP BY 1), f AS (SELECT e.* FROM events e LEFT JOIN reset USING (user_id) WHERE NOT (value < 100) AND (r IS NULL OR event_id > r))
-    SELECT user_id, min(event_id) AS fired_at, arg_min(value, event_id) AS first_condition, max(event_id) AS latest_at, arg_max(value, event_id) AS latest_condition FROM f GROUP BY 1""")
+    SELECT user_id, substr(sha256(user_id || chr(0) || min(event_id)), 1, 32) AS alert_id, min(event_id) AS fired_at, arg_min(value, event_id) AS first_condition, max(event_id) AS latest_at, arg_max(value, event_id) AS latest_condition FROM f GROUP BY 1""")
 def mon_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts that fired since the last reset, with their first and latest conditions."""
     events = table(spark, sf_dir, "events")
@@ -213,7 +234,19 @@ def sum_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.multiset_sum(items, "item", ["file_id"])
 
 
-@_query("SELECT store, true AS same FROM file_records GROUP BY store")
+_WORDS = ", ".join(f"(('0x' || h[{8 * i + 7}:{8 * i + 8}] || h[{8 * i + 5}:{8 * i + 6}] || h[{8 * i + 3}:{8 * i + 4}] || h[{8 * i + 1}:{8 * i + 2}])::UBIGINT % {p})::HUGEINT" for i, p in enumerate(sketches.PRIMES))
+_LITTLE = " || ".join(f"substr(x{i}, 7, 2) || substr(x{i}, 5, 2) || substr(x{i}, 3, 2) || substr(x{i}, 1, 2)" for i in range(8))
+_SUMS = ", ".join(f"lpad(lower(hex((sum(w[{i + 1}]) % {p})::UBIGINT)), 8, '0') AS x{i}" for i, p in enumerate(sketches.PRIMES))
+
+
+@_query(f"WITH i AS (SELECT file_id, hex(kv_key) || '@' || coalesce(ts, 0) || '=' || coalesce(hex(val), '~') AS item FROM file_records), d AS (SELECT file_id, sha256(item) AS h FROM i WHERE item IS NOT NULL), w AS (SELECT file_id, [{_WORDS}] AS w FROM d), s AS (SELECT file_id, {_SUMS} FROM w GROUP BY 1) SELECT file_id, {_LITTLE} AS checksum FROM s")
+def sum_files_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the hash that Spark has itself."""
+    items = table(spark, sf_dir, "file_records").withColumn("item", F.concat(F.hex("kv_key"), F.lit("@"), F.coalesce("ts", F.lit(0)).cast("string"), F.lit("="), F.coalesce(F.hex("val"), F.lit("~"))))
+    return sketches.multiset_sum(items, "item", ["file_id"], native=True)
+
+
+@_query("SELECT store, true AS same, true AS differs FROM file_records GROUP BY store")
 def sum_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the checksums of two halves of each store add up to that of the whole, and take away again."""
     items = table(spark, sf_dir, "file_records").withColumn("item", F.concat(F.hex("kv_key"), F.col("ts").cast("string")))
@@ -221,7 +254,7 @@ def sum_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = [sketches.multiset_sum(items.filter(f"rec_id % 2 = {i}"), "item", ["store"]).withColumnRenamed("checksum", f"s{i}") for i in (0, 1)]
     both = whole.join(halves[0], "store", "left").join(halves[1], "store", "left").fillna(sketches.EMPTY, ["s0", "s1"])
     same = (sketches.add_sums(F.col("s0"), F.col("s1")) == F.col("checksum")) & (sketches.add_sums(F.col("checksum"), F.col("s1"), -1) == F.col("s0"))
-    return both.select("store", same.alias("same"))
+    return both.select("store", same.alias("same"), (F.col("checksum") != F.lit(sketches.EMPTY)).alias("differs"))
 
 
 @_query("SELECT (SELECT CAST(coalesce(sum(n - m), 0) AS BIGINT) FROM d WHERE n > m) AS missing, (SELECT CAST(coalesce(sum(m - n), 0) AS BIGINT) FROM d WHERE m > n) AS extra FROM (SELECT 1)".replace("FROM d", "FROM (SELECT store, kv_key, count(*) FILTER (WHERE rec_id % 3 < 2) AS n, count(*) FILTER (WHERE rec_id % 3 > 0) AS m FROM file_records GROUP BY 1, 2)"))
@@ -237,23 +270,49 @@ def sketch_bloom_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(sketches.bloom_keys(F.col("p_size").cast("double")), 6).alias("k"), (F.round(sketches.bloom_bits(n, F.lit(0.01)), 4) + 0.0).alias("m"), F.round(sketches.bloom_rate(n, n * 10), 6).alias("rate"))
 
 
-@_query("SELECT CAST(0 AS BIGINT) AS missed, count(DISTINCT c_custkey) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders)) AS held FROM customer")
+@_query("SELECT CAST(0 AS BIGINT) AS missed, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS held, (SELECT count(*) FROM lineitem) AS others, true AS rare")
 def sketch_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A split-block filter misses none of its keys."""
-    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey")
-    filter_ = sketches.bloom_build(orders, "o_custkey", 2048)
-    probed = sketches.bloom_probe(customers, "c_custkey", filter_, 2048)
-    real = probed.join(orders.select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_semi")
-    return real.agg(F.count_if(~F.col("maybe")).alias("missed"), F.count_if("maybe").alias("held"))
+    """A split-block filter of 16 bits a key misses none of its keys, and takes less than 1 in 200 of as many other rows for one of them (0.1 % are to be expected)."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    blocks = max(1, items.distinct().count() * 16 // 256)
+    filter_ = sketches.bloom_build(items, "l_orderkey", blocks)
+    own = sketches.bloom_probe(items.distinct(), "l_orderkey", filter_, blocks).agg(F.count_if(~F.col("maybe")).alias("missed"), F.count(F.lit(1)).alias("held"), F.lit(0).cast("bigint").alias("others"), F.lit(0).cast("bigint").alias("wrong"))
+    strange = table(spark, sf_dir, "lineitem").select((-(F.col("l_orderkey") * 10 + F.col("l_linenumber")) - 1).alias("l_orderkey"))
+    rest = sketches.bloom_probe(strange, "l_orderkey", filter_, blocks).agg(F.lit(0).cast("bigint").alias("missed"), F.lit(0).cast("bigint").alias("held"), F.count(F.lit(1)).alias("others"), F.count_if("maybe").alias("wrong"))
+    whole = own.unionByName(rest).agg(*[F.sum(c).alias(c) for c in ("missed", "held", "others", "wrong")])
+    return whole.select("missed", "held", "others", (F.col("wrong") * 200 < F.col("others")).alias("rare"))
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS missed, (SELECT count(DISTINCT file_id) FROM file_records WHERE kv_key = (SELECT min(kv_key) FROM file_records WHERE kv_key IS NOT NULL AND file_id IS NOT NULL) AND file_id IS NOT NULL) AS held, true AS few")
+def sketch_skip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that may hold the smallest key, by a filter a file: none that does is missed, and of the others less than 1 in 20 is opened for nothing."""
+    records = table(spark, sf_dir, "file_records").filter("file_id is not null")
+    wanted = records.agg(F.min("kv_key")).first()[0]
+    filters = sketches.skipping(records, records, "file_id", "kv_key", 64)
+    maybe = sketches.candidate_files(filters, "file_id", wanted, 64).withColumn("maybe", F.lit(True))
+    real = records.groupBy("file_id").agg(F.max(F.col("kv_key").eqNullSafe(F.lit(wanted))).alias("real"))
+    both = real.join(maybe, "file_id", "left").select("real", F.coalesce("maybe", F.lit(False)).alias("maybe"))
+    return both.agg(F.count_if(F.col("real") & ~F.col("maybe")).alias("missed"), F.count_if(F.col("real") & F.col("maybe")).alias("held"), (F.count_if(F.col("maybe") & ~F.col("real")) * 20 <= F.count(F.lit(1))).alias("few"))
+
+
+@_query("SELECT true AS never_less, true AS close, true AS closer, count(DISTINCT l_orderkey) AS \"keys\" FROM lineitem")
+def sketch_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates of a count-min sketch are never below the counts and above them by e rows / width for 1 key in 50 at most; those of a conservative one lie between."""
+    items, width = table(spark, sf_dir, "lineitem"), 1 << 14
+    plain = sketches.estimate(items, "l_orderkey", sketches.frequencies(items, "l_orderkey", width=width), width=width)
+    less = sketches.estimate(items, "l_orderkey", sketches.conservative(items, "l_orderkey", width=width), width=width).withColumnRenamed("estimate", "less")
+    both = items.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).join(plain, "l_orderkey").join(less, "l_orderkey")
+    each = both.select(F.col("less") >= F.col("n"), F.col("less") <= F.col("estimate"), "n", "estimate").toDF("never_less", "closer", "n", "estimate")
+    bound = items.count() * math.e / width
+    return each.agg(F.min("never_less").alias("never_less"), (F.count_if(F.col("estimate") - F.col("n") > bound) * 50 <= F.count(F.lit(1))).alias("close"), F.min("closer").alias("closer"), F.count(F.lit(1)).alias("keys"))
 
 
-@_query("SELECT true AS never_less, count(DISTINCT user_id) AS \"keys\" FROM events")
-def sketch_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates of a count-min sketch are never below the counts."""
-    events = table(spark, sf_dir, "events")
-    guess = sketches.estimate(events, "user_id", sketches.frequencies(events, "user_id"))
-    both = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(guess, "user_id")
-    return both.agg(F.min(F.col("estimate") >= F.col("n")).alias("never_less"), F.count(F.lit(1)).alias("keys"))
+@_query("SELECT 3808858755 AS crc, count(*) AS n FROM events")
+def sum_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Castagnoli checksum of the digits 1 to 9, whose value is published, for every event beside other texts."""
+    text = F.when(F.col("event_id") % 2 == 0, "123456789").otherwise(F.concat(F.lit("123456789"), F.repeat(F.lit("x"), (F.col("event_id") % 40).cast("int"))))
+    own = table(spark, sf_dir, "events").select("event_id", sketches.crc32c(text).alias("crc"))
+    return own.agg(F.min(F.when(F.col("event_id") % 2 == 0, F.col("crc"))).alias("crc"), F.count("crc").alias("n"))
 
 
 @_query("WITH d AS (SELECT user_id, sum(pow(0.5, ((SELECT max(event_id) FROM events) - event_id) // 2000)) AS c FROM events GROUP BY 1) SELECT count(*) AS pairs, count(*) FILTER (WHERE b.c > a.c) AS replaced FROM d a JOIN d b ON b.user_id = a.user_id + 1")
@@ -265,10 +324,16 @@ def sketch_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guess.join(nxt, "user_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(sketches.should_replace(F.col("estimate"), F.col("candidate"))).alias("replaced"))
 
 
-@_query("SELECT CAST(1000 AS BIGINT) AS n, true AS in_range")
+@_query("SELECT CAST(200000 AS BIGINT) AS n, 200000 AS uuids, true AS in_range, 0.5 AS uniform, 0.0 AS normal, 1.0 AS spread, 1.0 AS exponential, 3.0 AS poisson, 0.5 AS coin, 'abcde' AS picks, true AS shuffled, true AS again")
 def gen_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = sketches.generate(spark, 1000, 7)
-    return made.agg(F.count(F.lit(1)).alias("n"), F.min((F.col("uniform") >= 0) & (F.col("uniform") < 1) & (F.col("exponential") >= 0)).alias("in_range"))
+    """Means of 200,000 generated rows, to one place, that their values lie in range, that a shuffle is a permutation, and that the same seed makes the same rows."""
+    made, again = sketches.generate(spark, 200_000, 7), sketches.generate(spark, 200_000, 7)
+    sums = [d.agg(F.sum(F.xxhash64("uniform", "normal", "exponential", "poisson", "coin", "pick", "text", "place").cast("decimal(20,0)"))).first()[0] for d in (made, again)]
+    mean = lambda c: (F.round(F.avg(c), 1) + 0.0)
+    out = made.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("uuid").cast("int").alias("uuids"), F.min((F.col("uniform") >= 0) & (F.col("uniform") < 1) & (F.col("exponential") >= 0) & F.col("text").rlike("^[a-z]{8}$")).alias("in_range"),
+                   mean("uniform").alias("uniform"), mean("normal").alias("normal"), (F.round(F.stddev("normal"), 1) + 0.0).alias("spread"), mean("exponential").alias("exponential"), mean("poisson").alias("poisson"), mean(F.col("coin").cast("double")).alias("coin"), F.array_join(F.array_sort(F.collect_set("pick")), "").alias("picks"),
+                   ((F.count_distinct("place") == F.count(F.lit(1))) & (F.min("place") == 0) & (F.max("place") == F.count(F.lit(1)) - 1)).alias("shuffled"))
+    return out.withColumn("again", F.lit(sums[0] == sums[1]))
 
 
 # Joins.
@@ -283,16 +348,15 @@ def join_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def join_semi_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids that meet every condition, in one pass over the postings."""
-    postings = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.explode(F.array(F.when(F.col("o_orderstatus") == "F", 1), F.when(F.col("o_orderpriority") == "1-URGENT", 2))).alias("met")).filter("met is not null")
-    met = postings.groupBy("c_custkey").agg(F.countDistinct("met").alias("n")).filter("n = 2")
-    return table(spark, sf_dir, "customer").join(met, "c_custkey", "left_semi").select("c_custkey")
+    """Customers whose orders meet every condition, in one pass over the orders."""
+    met = records.meeting_all(table(spark, sf_dir, "orders"), "o_custkey", [F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "1-URGENT"])
+    return table(spark, sf_dir, "customer").join(met.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_semi").select("c_custkey")
 
 
 @_query("SELECT id FROM (SELECT user_id AS id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'error') UNION SELECT user_id FROM events WHERE event_type = 'signup'")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intersection and union of record ids."""
     ids = {t: table(spark, sf_dir, "events").filter(F.col("event_type") == t).select(F.col("user_id").alias("id")) for t in ("click", "error", "signup")}
-    return ids["click"].intersect(ids["error"]).union(ids["signup"]).distinct()
+    return records.union_ids(records.intersect_ids(ids["click"], ids["error"]), ids["signup"])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import tags
 from quern.operators import logs, text, versions
+from quern.operators import records as record_sets
 from quern.session import table
 
 NEEDLE, TWIN = "the", "ss"
@@ -181,10 +182,10 @@ def tag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
 def tag_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by postings: rows whose number of matching postings is that of the wanted tags."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(F.concat(F.lit("status="), "o_orderstatus"), F.concat(F.lit("priority="), "o_orderpriority"))).alias("posting"))
-    hits = rows.filter(F.col("posting").isin("status=F", "priority=1-URGENT"))
-    return hits.groupBy("o_orderkey").agg(F.countDistinct("posting").alias("n")).filter("n = 2").select("o_orderkey")
+    """The same by an index of postings."""
+    own = F.concat(F.lit(":status="), "o_orderstatus", F.lit(":priority="), "o_orderpriority", F.lit(":"))
+    index = record_sets.tag_index(table(spark, sf_dir, "orders").select("o_orderkey", own.alias("tags")), "o_orderkey")
+    return record_sets.search_index(index, "o_orderkey", {"status": "F", "priority": "1-URGENT"})
 
 
 @_query("SELECT sample_id, ':' || array_to_string(list_sort(list_filter(string_split(tags, ':'), lambda t: t <> '')), ':') || ':' AS canonical, split_part(list_filter(string_split(tags, ':'), lambda t: starts_with(t, '__name__='))[1], '=', 2) AS name FROM samples")

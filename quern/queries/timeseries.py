@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import math
 from quern.operators import series
+from quern.operators.prefix import prefix_sums
 from quern.operators.series import MICROS, Params
 from quern.plans import series_language
 from quern.session import table
@@ -46,10 +47,6 @@ def ts_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ts_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(series.relabel(series.resample(series.select(samples(spark, sf_dir), ":user=7:"), PARAMS), ":team=a:"))
-
-
-def ts_relabel_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All series under one label."""
     return _out(series.relabel(series.resample(samples(spark, sf_dir), PARAMS), ":team=a:"))
 
@@ -70,26 +67,58 @@ def ts_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.delta_encode(samples(spark, sf_dir)).select("tags", F.unix_micros("ts").alias("ts_us"), "d_ts", "dd_ts", F.round("d_value", 6).alias("d_value"))
 
 
+def ts_delta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The times of every series from its first one and the differences of differences alone."""
+    own = prefix_sums(series.delta_encode(samples(spark, sf_dir)).withColumn("us", F.unix_micros("ts")), ["tags"], ["us", "value"], out="n", spread=F.lit(0))
+    start = own.groupBy("tags").agg(F.min("ts").alias("ts0"), F.max(F.when(F.col("n") == 1, F.col("d_ts"))).alias("d0"))
+    return series.delta_decode(own.select("tags", "n", "dd_ts", "value"), start).select("tags", "n", F.unix_micros("ts").alias("ts_us"), F.round("value", 6).alias("value"))
+
+
+def ts_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of all three kinds by tags and time: errors are counters, purchases histograms, all others gauges."""
+    name = F.regexp_extract("tags", ":__name__=([^:]*):", 1)
+    kind = F.when(name == "error", "counter").when(name == "purchase", "histogram").otherwise("gauge")
+    own = samples(spark, sf_dir).withColumn("kind", kind)
+    got = [series.fetch(own, k, w, START, LIMIT).withColumn("kind", F.lit(k)) for k, w in (("counter", "error"), ("gauge", ":__name__=view:"), ("histogram", "purchase"), ("counter", "view"))]
+    return series.union(got[0], *got[1:]).select("kind", "tags", F.unix_micros("ts").alias("ts_us"), F.round("value", 6).alias("value"))
+
+
+def ts_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of the caller's own: a scalar one, one of a frame, one of a whole series and one across all series."""
+    grid = series.resample(series.select(samples(spark, sf_dir), "click"), PARAMS)
+    scaled = series.pointwise(grid, lambda v: v * 2 + 1)
+    swing = series.rollup(grid, lambda a: F.element_at(a, -1) - F.element_at(a, 1), 4)
+    rises = series.uniform(grid, lambda a: F.size(F.filter(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.element_at(a, i + 1) > F.element_at(a, i))))
+    spread = series.aggregate(grid, lambda v: F.max(v) - F.min(v))
+    return series.union(*[_out(x).withColumn("what", F.lit(n)) for n, x in (("scaled", scaled), ("swing", swing), ("rises", rises), ("spread", spread))])
+
+
+def ts_finer_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same window at a third of the step."""
+    fine = PARAMS.with_step(STEP // 3)
+    return _out(series.aggregate(series.resample(series.select(samples(spark, sf_dir), "error"), fine), "maximum"))
+
+
+def fn_rfc3339(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written as RFC 3339 with an offset and read again; other texts are null."""
+    from quern.functions.calendar import parse_rfc3339
+
+    text = F.when(F.col("event_id") % 5 == 0, "yesterday").otherwise(F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'"))
+    return table(spark, sf_dir, "events").select("event_id", F.unix_micros(parse_rfc3339(text)).alias("us"))
+
+
 def ts_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrays = series.series_arrays(series.resample(samples(spark, sf_dir), PARAMS))
-    return arrays.select("tags", F.size("points").alias("n"), F.round(F.element_at("points", 1), 6).alias("first"), F.round(F.element_at("points", -1), 6).alias("last"))
+    return arrays.select("tags", F.array_join(F.transform("points", lambda x: F.round(x * 1000).cast("bigint").cast("string")), ",").alias("points"))
 
 
 def ts_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of every second of one hour, empty seconds included."""
-    start, limit = (F.timestamp_micros(F.lit(START + h * HOUR)) for h in (0, 1))
-    events = table(spark, sf_dir, "events").filter((F.col("ts") >= start) & (F.col("ts") < limit))
-    return series.per_second(events, "ts", start, limit).select(F.unix_micros("second").alias("second_us"), "n")
-
-
-def ts_seconds_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of every second of the events' extent, empty seconds included."""
     events = table(spark, sf_dir, "events")
     start, limit = series.extent(events).select(F.unix_micros("start"), F.unix_micros("limit")).first()
     if start is None:
         return spark.createDataFrame([], "second_us bigint, n bigint")
-    ends = (F.timestamp_micros(F.lit(x)) for x in (start, limit))
-    return series.per_second(events.filter("ts is not null"), "ts", *ends).select(F.unix_micros("second").alias("second_us"), "n")
+    return series.per_second(events.filter("ts is not null"), "ts", start, limit).select(F.unix_micros("second").alias("second_us"), "n")
 
 
 def ts_rendering_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,23 +128,11 @@ def ts_rendering_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn_pointwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pointwise functions over quarters from -6 to 14."""
-    x = (F.floor("value") - 25) / F.lit(4.0)
-    return table(spark, sf_dir, "events").filter(F.col("value") < 80).select("event_id", x.alias("x")).select("event_id", *[(F.round(f(F.col("x")), 6) + 0.0).alias(f"v_{n}") for n, f in math.POINTWISE.items()])
-
-
-def fn_pointwise_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same functions over all values, which keep their quarters beyond 14."""
-    x = (F.floor("value") - 25) / F.lit(4.0)
+    """All pointwise functions over all values, brought to quarters from -6 to 14."""
+    x = (F.pmod(F.floor("value"), F.lit(80)) - 25) / F.lit(4.0)
     return table(spark, sf_dir, "events").select("event_id", x.alias("x")).select("event_id", *[(F.round(f(F.col("x")), 6) + 0.0).alias(f"v_{n}") for n, f in math.POINTWISE.items()])
 
 
-def ts_point_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pointwise functions, a column each, over all series; the steep ones on logarithms as in ts_point_."""
-    grid = series.resample(samples(spark, sf_dir), PARAMS).select("tags", "k", "value", math.POINTWISE["ln_1p"](F.col("value")).alias("log"))
-    return grid.select("tags", "k", *[(F.round(f(F.col("log" if n in STEEP else "value")), 6) + 0.0).alias(f"v_{n}") for n, f in math.POINTWISE.items()])
-
-
 def fn_of_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All functions of time over the events' times."""
     from quern.functions.calendar import OF_TIME, of_time, rfc3339
@@ -123,7 +140,7 @@ def fn_of_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", *[of_time(n, F.col("ts")).alias(f"t_{n}") for n in OF_TIME], rfc3339(F.col("ts")).alias("rfc3339"))
 
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (ts_resample, ts_union, ts_relabel, ts_relabel_all, ts_arithmetic, ts_extent, ts_delta, ts_arrays, ts_seconds, ts_seconds_all, ts_rendering_grid, fn_pointwise, fn_pointwise_all, ts_point_all, fn_of_time)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (ts_resample, ts_union, ts_relabel, ts_arithmetic, ts_extent, ts_delta, ts_delta_round_trip, ts_arrays, ts_seconds, ts_rendering_grid, ts_fetch, ts_closures, ts_finer_step, fn_pointwise, fn_of_time, fn_rfc3339)}
 
 _BASE = """
 pts AS (SELECT tags, u, arg_max(v, event_id) AS v FROM (SELECT ':__name__=' || event_type || ':user=' || user_id || ':' AS tags, epoch_us(ts) AS u, value AS v, event_id FROM events) GROUP BY tags, u)
@@ -190,9 +207,9 @@ POINT_SQL = {
 # The steep functions are applied to a logarithm, so that six places stay within a double's digits.
 for how, formula in POINT_SQL.items():
     name = f"ts_point_{how}"
-    QUERIES[name] = partial(language, f"{how}(ln_1p(counters(:user=3:)))" if how in ("exp", "exp2", "exp_m1", "sinh", "cosh", "tan") else f"{how}(counters(:user=3:))")
+    QUERIES[name] = partial(language, f"{how}(ln_1p(counters(:)))" if how in ("exp", "exp2", "exp_m1", "sinh", "cosh", "tan") else f"{how}(counters(:))")
     inner = "SELECT tags, k, ln(1 + v) AS v FROM g" if how in ("exp", "exp2", "exp_m1", "sinh", "cosh", "tan") else "SELECT * FROM g"
-    SQL[name] = f"""WITH {_BASE}, {_grid('g', "contains(tags, ':user=3:')")} SELECT tags, k, round({formula}, 6) + 0.0 AS "value" FROM ({inner})"""
+    SQL[name] = f"""WITH {_BASE}, {_grid('g', "true")} SELECT tags, k, round({formula}, 6) + 0.0 AS "value" FROM ({inner})"""
 for how, formula in {
     "day": "day(t)", "days_in_month": "day(last_day(t))", "days_in_year": "dayofyear(make_date(year(t), 12, 31))", "hour": "hour(t)", "minute": "minute(t)", "month": "month(t)", "second": "second(t)", "unix_micros": "epoch_us(t)", "weekday": "dayofweek(t) + 1", "year": "year(t)",
 }.items():
@@ -201,16 +218,23 @@ for how, formula in {
 SQL["fn_of_time"] = (
     "SELECT event_id, CAST(day(ts) AS DOUBLE) AS t_day, CAST(day(last_day(ts)) AS DOUBLE) AS t_days_in_month, CAST(dayofyear(make_date(year(ts), 12, 31)) AS DOUBLE) AS t_days_in_year, CAST(hour(ts) AS DOUBLE) AS t_hour, CAST(minute(ts) AS DOUBLE) AS t_minute, CAST(month(ts) AS DOUBLE) AS t_month, CAST(second(ts) AS DOUBLE) AS t_second, CAST(epoch_us(ts) AS DOUBLE) AS t_unix_micros, CAST(dayofweek(ts) + 1 AS DOUBLE) AS t_weekday, CAST(year(ts) AS DOUBLE) AS t_year, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS rfc3339 FROM events"
 )
-SQL["fn_pointwise"] = "SELECT event_id, " + ", ".join(f"round({f}, 6) + 0.0 AS v_{n}" for n, f in POINT_SQL.items()) + " FROM (SELECT event_id, (floor(value) - 25) / CAST(4 AS DOUBLE) AS v FROM events WHERE value < 80)"
+SQL["fn_pointwise"] = "SELECT event_id, " + ", ".join(f"round({f}, 6) + 0.0 AS v_{n}" for n, f in POINT_SQL.items()) + " FROM (SELECT event_id, (((CAST(floor(value) AS BIGINT) % 80) + 80) % 80 - 25) / CAST(4 AS DOUBLE) AS v FROM events)"
 SQL["ts_union"] = f"""WITH {_BASE}, {_grid('a', "contains(tags, ':__name__=click:')")}, {_grid('b', "contains(tags, ':__name__=error:')")} SELECT tags, k, round(v, 6) AS "value" FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM a)"""
-SQL["ts_relabel"] = f"""WITH {_BASE}, {_grid('g', "contains(tags, ':user=7:')")} SELECT ':team=a:' AS tags, k, round(v, 6) AS "value" FROM g"""
+SQL["ts_relabel"] = f"""WITH {_BASE}, {_grid('g', "true")} SELECT ':team=a:' AS tags, k, round(v, 6) AS "value" FROM g"""
 SQL["ts_arithmetic"] = f"""WITH {_BASE}, {_grid('a', "contains(tags, ':__name__=click:')")}, {_grid('b', "contains(tags, ':__name__=view:')")},
     m AS (SELECT k, x, y FROM (SELECT k, max(v) AS x FROM a GROUP BY k) JOIN (SELECT k, max(v) AS y FROM b GROUP BY k) USING (k))
     SELECT '' AS tags, k, op, round(CASE op WHEN '+' THEN x + y WHEN '-' THEN x - y WHEN '*' THEN x * y ELSE CASE WHEN y <> 0 THEN x / y WHEN x > 0 THEN CAST('inf' AS DOUBLE) WHEN x < 0 THEN CAST('-inf' AS DOUBLE) ELSE CAST('nan' AS DOUBLE) END END, 6) AS "value"
     FROM m, (VALUES ('+'), ('-'), ('*'), ('/')) o(op)"""
 SQL["ts_extent"] = "SELECT epoch_us(date_trunc('second', min(ts))) AS start_us, epoch_us(date_trunc('second', max(ts))) + 1000000 AS limit_us FROM events"
 SQL["ts_delta"] = f"WITH {_BASE}, d AS (SELECT tags, u, u - lag(u) OVER w AS d_ts, v - lag(v) OVER w AS dv FROM pts WINDOW w AS (PARTITION BY tags ORDER BY u)) SELECT tags, u AS ts_us, d_ts, d_ts - lag(d_ts) OVER (PARTITION BY tags ORDER BY u) AS dd_ts, round(dv, 6) AS d_value FROM d"
-SQL["ts_arrays"] = f"WITH {_BASE}, {_grid('g', 'true')} SELECT tags, CAST(count(*) AS INTEGER) AS n, round(arg_min(v, k), 6) AS \"first\", round(arg_max(v, k), 6) AS \"last\" FROM g GROUP BY tags"
-SQL["ts_seconds"] = f"SELECT {START} + s * 1000000 AS second_us, count(e.ts) AS n FROM (SELECT unnest(range(3600)) AS s) LEFT JOIN events e ON epoch_us(date_trunc('second', e.ts)) = {START} + s * 1000000 GROUP BY s"
+SQL["ts_arrays"] = f"WITH {_BASE}, {_grid('g', 'true')} SELECT tags, string_agg(CAST(CAST(round(v * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY k) AS points FROM g GROUP BY tags"
+SQL["ts_delta_round_trip"] = f"WITH {_BASE} SELECT tags, row_number() OVER (PARTITION BY tags ORDER BY u, v) - 1 AS n, u AS ts_us, round(v, 6) AS \"value\" FROM pts"
+SQL["ts_fetch"] = f"WITH {_BASE} SELECT CASE WHEN contains(tags, '=error:') THEN 'counter' WHEN contains(tags, '=purchase:') THEN 'histogram' ELSE 'gauge' END AS kind, tags, u AS ts_us, round(v, 6) AS \"value\" FROM pts WHERE u >= {START} AND u < {LIMIT} AND (contains(tags, '=error:') OR contains(tags, '=view:') OR contains(tags, '=purchase:'))"
+SQL["ts_closures"] = f"""WITH {_BASE}, {_grid('g', "contains(tags, ':__name__=click:')")}, f AS (SELECT *, v - coalesce(first_value(v) OVER w, v) AS swing, v > lag(v) OVER s AS up FROM g WINDOW w AS (PARTITION BY tags ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), s AS (PARTITION BY tags ORDER BY k)),
+    r AS (SELECT tags, k, v * 2 + 1 AS x, 'scaled' AS what FROM g UNION ALL SELECT tags, k, swing, 'swing' FROM f UNION ALL SELECT tags, k, CAST(count(*) FILTER (WHERE up) OVER (PARTITION BY tags) AS DOUBLE), 'rises' FROM f UNION ALL SELECT '', k, max(v) - min(v), 'spread' FROM g GROUP BY k)
+    SELECT tags, k, round(x, 6) + 0.0 AS "value", what FROM r"""
+SQL["ts_finer_step"] = f"""WITH {_BASE}, {_grid('g', "contains(tags, ':__name__=error:')", step=STEP // 3)} SELECT '' AS tags, k, round(max(v), 6) AS "value" FROM g GROUP BY k"""
+SQL["fn_rfc3339"] = "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) END AS us FROM events"
+SQL["ts_seconds"] = "WITH h AS (SELECT epoch_us(date_trunc('second', ts)) AS u, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1), g AS (SELECT unnest(range((SELECT min(u) FROM h), (SELECT max(u) FROM h) + 1, 1000000)) AS u) SELECT u AS second_us, coalesce(n, 0) AS n FROM g LEFT JOIN h USING (u)"
 _R = Params.rendering(START + 1, LIMIT, 100)
 SQL["ts_rendering_grid"] = f"""WITH {_BASE}, {_grid('g', "contains(tags, ':__name__=purchase:')", _R.start, _R.limit, _R.step)} SELECT tags, count(*) AS n, round(sum(round(v, 6)), 4) AS total FROM g GROUP BY tags"""

@@ -11,7 +11,14 @@ from quern.session import materialize
 
 _NAME = r"[a-zA-Z_:][a-zA-Z0-9_:]*"
 _LABEL = r'[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*"(?:[^"\\]|\\.)*"'
-_READING = rf"^\s*({_NAME})\s*(\{{(?:\s*{_LABEL}\s*,?)*\s*\}})?\s+(\S+)(?:\s+(-?\d+))?\s*$"
+#: A whole line of any kind that says something: a reading (name, labels, number, stamp), a TYPE line (name, kind) or a HELP line (name, text).
+_LINE = rf"^\s*(?:({_NAME})\s*(?:\{{((?:\s*{_LABEL}\s*,?)*)\s*\}})?\s+(\S+)(?:\s+(-?\d+))?|#\s*TYPE\s+({_NAME})\s+(counter|gauge|histogram)|#\s*HELP\s+({_NAME})(?:\s+(.*))?)\s*$"
+_MARK = "\u0000"
+
+
+def _once(df: DataFrame, **made: Column) -> DataFrame:
+    """Adds columns that are worked out once a row, however often they are used: a generator is a boundary that the optimizer doesn't copy expressions over."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
 
 
 def parse(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -19,33 +26,35 @@ def parse(lines: DataFrame, line: str = "value") -> DataFrame:
 
     `metric`, `labels` (a map, with escapes undone), `number` (infinities and NaN too) and `stamp_ms` of a
     reading; `metric` and `kind` of a TYPE line, whose kind must be counter, gauge or histogram;
-    `metric` and `help` of a HELP line. Null lines are blank. Stays in the JVM.
+    `metric` and `help` of a HELP line. Null lines are blank. Stays in the JVM, and one expression reads a
+    line: it puts the parts apart by a character that no line has (one that has it is malformed).
     """
     own = F.coalesce(F.col(line), F.lit(""))
-    part = lambda pattern, i: F.nullif(F.regexp_extract(own, pattern, i), F.lit(""))
-    kind = part(rf"^\s*#\s*TYPE\s+({_NAME})\s+(counter|gauge|histogram)\s*$", 2)
-    help_name = part(rf"^\s*#\s*HELP\s+({_NAME})(?:\s+(.*))?$", 1)
-    name, text = part(_READING, 1), F.lower(part(_READING, 3))
+    taken = F.when(F.contains(own, F.lit(_MARK)), F.lit("")).otherwise(F.regexp_replace(own, _LINE, _MARK.join(["", *(f"${i}" for i in range(1, 9)), ""])))
+    rows = _once(lines, __p=F.split(taken, _MARK), __own=own)
+    fits = F.size("__p") == 10
+    part = lambda i: F.when(fits, F.nullif(F.col("__p")[i], F.lit("")))
+    text = F.lower(part(3))
     number = F.when(text.isin("+inf", "inf"), float("inf")).when(text == "-inf", float("-inf")).when(text == "nan", float("nan")).otherwise(text.try_cast("double"))
-    found = F.regexp_extract_all(F.regexp_extract(own, _READING, 2), F.lit(f"({_LABEL})"), F.lit(1))
-    key = lambda x: F.regexp_extract(x, r"^([^=\s]+)", 1)
-    raw = lambda x: F.regexp_extract(x, r'=\s*"(.*)"$', 1)
-    plain = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("\\\\"), F.lit("\u0000")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))
-    keys = F.transform(found, key)
-    unique = F.size(F.array_distinct(keys)) == F.size(keys)
-    reading = name.isNotNull() & number.isNotNull() & unique
-    what = F.when(F.trim(own) == "", "blank").when(kind.isNotNull(), "type").when(help_name.isNotNull(), "help").when(F.ltrim(own).startswith("#"), "comment").when(reading, "reading").otherwise("malformed")
-    return lines.withColumns(
+    found = F.when(part(2).isNull(), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(part(2), F.lit(f"({_LABEL})"), F.lit(1)))
+    rows = _once(rows, __name=part(1), __number=number, __found=found, __type=part(5), __kind=part(6), __help=part(7))
+    keys = F.transform("__found", lambda x: F.rtrim(F.substring_index(x, "=", 1)))
+    raw = lambda x: F.substring(x, F.instr(x, '"') + 1, F.length(x) - F.instr(x, '"') - 1)
+    plain = lambda x: F.when(F.contains(x, F.lit("\\")), F.replace(F.replace(F.replace(F.replace(x, F.lit("\\\\"), F.lit("\u0000")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))).otherwise(x)
+    rows = _once(rows, __keys=keys, __values=F.transform("__found", lambda x: plain(raw(x))), __unique=F.size(F.array_distinct(keys)) == F.size(keys))
+    reading = F.col("__name").isNotNull() & F.col("__number").isNotNull() & F.col("__unique")
+    what = F.when(F.trim("__own") == "", "blank").when(F.col("__kind").isNotNull(), "type").when(F.col("__help").isNotNull(), "help").when(F.ltrim("__own").startswith("#"), "comment").when(reading, "reading").otherwise("malformed")
+    return rows.withColumns(
         {
             "what": what,
-            "metric": F.when(reading, name).when(kind.isNotNull(), part(rf"^\s*#\s*TYPE\s+({_NAME})", 1)).otherwise(help_name),
-            "labels": F.when(reading, F.map_from_arrays(F.when(unique, keys), F.transform(found, lambda x: plain(raw(x))))),
-            "number": F.when(reading, number),
-            "stamp_ms": F.when(reading, part(_READING, 4).try_cast("bigint")),
-            "kind": kind,
-            "help": part(rf"^\s*#\s*HELP\s+({_NAME})\s+(.*)$", 2),
+            "metric": F.when(reading, F.col("__name")).otherwise(F.coalesce("__type", "__help")),
+            "labels": F.when(reading, F.map_from_arrays(F.when(F.col("__unique"), F.col("__keys")), F.col("__values"))),
+            "number": F.when(reading, F.col("__number")),
+            "stamp_ms": F.when(reading, part(4).try_cast("bigint")),
+            "kind": F.col("__kind"),
+            "help": part(8),
         }
-    )
+    ).drop("__p", "__own", "__name", "__number", "__found", "__type", "__kind", "__help", "__keys", "__values", "__unique")
 
 
 def escape(value: Column) -> Column:
@@ -126,7 +135,7 @@ def write(lines: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     most = rows_per_file // 2
     held = materialize(lines.filter("line is not null").withColumn("__head", F.col("line").startswith("#")), "lines")
     series = F.regexp_replace("line", r"\s\S+(\s-?\d+)$", "$1")
-    readings = prefix_sums(held.filter("not __head").withColumn("__series", series), ["metric"], ["__series", "line"], out="__place", spread=F.pmod(F.xxhash64("__series"), F.lit(64)))
+    readings = prefix_sums(held.filter("not __head").withColumn("__series", series), ["metric"], ["__series", "line"], out="__place", hashed=["__series"])
     first = F.min("__place").over(Window.partitionBy("metric", "__series"))
     cut = materialize(readings.select("metric", "line", "__head", F.floor(first / most).alias("__chunk")), "chunks")
     heads = held.filter("__head").select("metric", "line", "__head").join(cut.select("metric", "__chunk").distinct(), "metric", "left").withColumn("__chunk", F.coalesce("__chunk", F.lit(0).cast("bigint")))

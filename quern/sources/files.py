@@ -18,8 +18,12 @@ def key_value_lines(lines: DataFrame, order: str, line: str = "value") -> DataFr
 
 
 def log_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, level, timestamp, value) of JSON lines, the value as its JSON text; malformed lines have nulls."""
-    rows = spark.read.text(path)
+    """(file, line, level, timestamp, value) of the JSON lines of files, the value as its JSON text; malformed lines have nulls."""
+    return log_lines(spark.read.text(path))
+
+
+def log_lines(rows: DataFrame) -> DataFrame:
+    """Log records of lines (value), of a batch or a stream."""
     get = lambda name, kind: F.get_json_object("value", f"$.{name}").try_cast(kind)
     return rows.select(get("file", "string").alias("file"), get("line", "int").alias("line"), get("level", "bigint").alias("level"), get("timestamp", "bigint").alias("timestamp"), F.get_json_object("value", "$.value").alias("value"))
 
