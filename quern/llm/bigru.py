@@ -73,31 +73,39 @@ class Direction:
         g["x"][sorted_symbols[starts]] = np.add.reduceat(gates.reshape(-1, 3 * h_n)[order], starts, axis=0)
         return g
 
-    def label(self, symbols: np.ndarray, into: np.ndarray, head: np.ndarray, reverse: bool) -> None:
-        """Adds this direction's class scores to `into` (T, B, C), keeping no states."""
+    def gates(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Tables and matrices of r, z and n apart, each contiguous; the bias is in the tables, but for that of n, which the reset gate takes too."""
+        h_n, x, u, b = self.hidden, self.p["x"], self.p["u"], self.p["b"]
+        cut = [slice(i * h_n, (i + 1) * h_n) for i in range(3)]
+        return [x[:, c] + (b[c] if i < 2 else 0) for i, c in enumerate(cut)], [np.ascontiguousarray(u[:, c]) for c in cut]
+
+    def label(self, symbols: np.ndarray, head: np.ndarray, reverse: bool) -> np.ndarray:
+        """This direction's class scores (T, B, C)."""
         h_n, (steps, batch) = self.hidden, symbols.shape
-        scale = np.concatenate([np.full(2 * h_n, 0.5, np.float32), np.ones(h_n, np.float32)])
-        x = self.p["x"] * scale
-        x[:, : 2 * h_n] += self.p["b"][: 2 * h_n] * 0.5
-        u, c = np.ascontiguousarray(self.p["u"] * scale), self.p["b"][2 * h_n :]
-        h = np.zeros((batch, h_n), np.float32)
-        xa, ua = np.empty((batch, 3 * h_n), np.float32), np.empty((batch, 3 * h_n), np.float32)
-        rz, n = np.empty((batch, 2 * h_n), np.float32), np.empty((batch, h_n), np.float32)
+        (xr, xz, xn), (ur, uz, un) = self.gates()
+        xr, xz, ur, uz = (a * np.float32(0.5) for a in (xr, xz, ur, uz))
+        c = self.p["b"][2 * h_n :]
+        states = np.empty((steps, batch, h_n), np.float32)
+        h, a, r, z, n = (np.zeros((batch, h_n), np.float32) for _ in range(5))
         for t in range(steps - 1, -1, -1) if reverse else range(steps):
-            np.take(x, symbols[t], axis=0, out=xa, mode="clip")
-            np.matmul(h, u, out=ua)
-            np.add(xa[:, : 2 * h_n], ua[:, : 2 * h_n], out=rz)
-            np.tanh(rz, out=rz)
-            rz *= 0.5
-            rz += 0.5
-            np.add(ua[:, 2 * h_n :], c, out=n)
-            n *= rz[:, :h_n]
-            n += xa[:, 2 * h_n :]
+            for gate, x, u in ((r, xr, ur), (z, xz, uz)):
+                np.matmul(h, u, out=gate)
+                np.take(x, symbols[t], axis=0, out=a, mode="clip")
+                gate += a
+                np.tanh(gate, out=gate)
+                gate *= 0.5
+                gate += 0.5
+            np.matmul(h, un, out=n)
+            n += c
+            n *= r
+            np.take(xn, symbols[t], axis=0, out=a, mode="clip")
+            n += a
             np.tanh(n, out=n)
             h -= n
-            h *= rz[:, h_n:]
+            h *= z
             h += n
-            into[t] += h @ head
+            states[t] = h
+        return (states.reshape(-1, h_n) @ head).reshape(steps, batch, -1)
 
 
 class BiGRU:
@@ -154,13 +162,14 @@ class BiGRU:
 
     def probabilities(self, symbols: np.ndarray) -> np.ndarray:
         """(T, B, C) for symbols (T, B)."""
-        into = np.empty((*symbols.shape, len(self.classes)), np.float32)
-        into[:] = self.bias
-        self.ways[0].label(symbols, into, np.ascontiguousarray(self.head[: self.hidden]), False)
-        self.ways[1].label(symbols, into, np.ascontiguousarray(self.head[self.hidden :]), True)
-        into -= into.max(2, keepdims=True)
+        into = self.ways[0].label(symbols, np.ascontiguousarray(self.head[: self.hidden]), False)
+        into += self.ways[1].label(symbols, np.ascontiguousarray(self.head[self.hidden :]), True)
+        into += self.bias
+        if np.abs(self.head).sum(0).max() + np.abs(self.bias).max() > 60:  # states lie within -1 and 1, so smaller scores can't overflow
+            into -= into.max(2, keepdims=True)
         np.exp(into, out=into)
-        into /= into.sum(2, keepdims=True)
+        flat = into.reshape(-1, len(self.classes))
+        flat /= (flat @ np.ones(len(self.classes), np.float32))[:, None]
         return into
 
     def state(self) -> dict:
