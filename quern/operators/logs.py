@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,20 +12,22 @@ from pyspark.sql import functions as F
 
 from quern.plans import log_language
 
+#: Marks of a path that are escaped in the keys of indexed ones.
+_MARKS, _ESCAPED = r"[.\[\\]", lambda m: "\\" + m[0]
 LEAVES = "array<struct<path:string,kind:string,value:string>>"
 
 
-def _flat(value, path: str, out: list) -> None:
+def _flat(value, path: str, out: list, indexed: bool = False) -> None:
     if isinstance(value, dict):
         if not value:
             out.append({"path": path, "kind": "object", "value": "{}"})
         for k, v in value.items():
-            _flat(v, f"{path}.{k}", out)
+            _flat(v, f"{path}.{re.sub(_MARKS, _ESCAPED, k) if indexed else k}", out, indexed)
     elif isinstance(value, list):
         if not value:
             out.append({"path": path + "[]", "kind": "array", "value": "[]"})
-        for v in value:
-            _flat(v, path + "[]", out)
+        for i, v in enumerate(value):
+            _flat(v, f"{path}[{i if indexed else ''}]", out, indexed)
     elif isinstance(value, bool):
         out.append({"path": path, "kind": "bool", "value": str(value).lower()})
     elif isinstance(value, (int, float)):
@@ -35,10 +38,11 @@ def _flat(value, path: str, out: list) -> None:
         out.append({"path": path, "kind": "null", "value": None})
 
 
-def leaves(records: DataFrame, json_column: str, keep: list[str]) -> DataFrame:
+def leaves(records: DataFrame, json_column: str, keep: list[str], indexed: bool = False) -> DataFrame:
     """The columns `keep` and `leaves`: all leaves of a JSON text of any depth, as (path, kind, value).
 
-    A null or malformed text has no leaves. Values are parsed in Arrow batches; only the kept columns and
+    A null or malformed text has no leaves. With `indexed` a path names the places in arrays and escapes marks in
+    keys, so that `values.rebuild` can put the value together again. Values are parsed in Arrow batches; only the kept columns and
     the text reach Python.
     """
     rows = records.select(*keep, F.col(json_column).alias("__json"))
@@ -51,7 +55,7 @@ def leaves(records: DataFrame, json_column: str, keep: list[str]) -> DataFrame:
             for text in batch.column(len(keep)).to_pylist():
                 out: list = []
                 try:
-                    _flat(json.loads(text), "$", out) if text is not None else None
+                    _flat(json.loads(text), "$", out, indexed) if text is not None else None
                 except ValueError:
                     out = []
                 made.append(out)

@@ -243,12 +243,12 @@ def pointwise(series: DataFrame, how: str | Callable[[Column], Column]) -> DataF
     return series.withColumn("value", f(F.col("value")))
 
 
-def function_of_time(spark: SparkSession, how: str, params: Params) -> DataFrame:
-    """A series without tags that has a function of the time at every step."""
+def function_of_time(spark: SparkSession, how: str | Callable[[Column], Column], params: Params) -> DataFrame:
+    """A series without tags that has a function of the time at every step; a name, or any function of the column of times."""
     first = -(params.lookback // params.step)
     k = spark.range(first, params.steps).select(F.col("id").alias("k"))
     ts = F.timestamp_micros(F.lit(params.start) + F.col("k") * params.step)
-    return k.select(F.lit(None).cast("string").alias("tags"), "k", ts.alias("ts"), calendar.of_time(how, ts).alias("value"))
+    return k.select(F.lit(None).cast("string").alias("tags"), "k", ts.alias("ts"), (calendar.of_time(how, ts) if isinstance(how, str) else how(ts).cast("double")).alias("value"))
 
 
 def union(first: DataFrame, *others: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators.prefix import carried, prefix_sums
@@ -83,9 +83,16 @@ def retrieve(records: DataFrame, order: str, wanted: list) -> DataFrame:
     return records.filter(F.col(order).isin(wanted))
 
 
-def pieces(records: DataFrame, opens: str, closes: str, text: str = "text") -> DataFrame:
-    """One row (piece) for each stretch of a text between an opening and the next closing mark (regular expressions)."""
-    found = F.regexp_extract_all(F.col(text), F.lit(f"{opens}(.*?){closes}"), F.lit(1))
+def newline_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, text): the lines of text files, numbered from 0 in each file. A file is cut among tasks, whose lines are counted first and numbered then."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__begin"), F.monotonically_increasing_id().alias("__place"), F.col("value").alias("text"))
+    numbered = prefix_sums(lines, ["file"], ["__begin", "__place"], out="record", spread=F.shiftright("__begin", 20))
+    return numbered.select("file", "record", "text")
+
+
+def pieces(records: DataFrame, opens: str, closes: str, text: str = "text", inside: str = ".*?") -> DataFrame:
+    """One row (piece) for each stretch of a text between an opening and the next closing mark (regular expressions); `inside` is what may stand between."""
+    found = F.regexp_extract_all(F.col(text), F.lit(f"{opens}({inside}){closes}"), F.lit(1))
     return records.withColumn("piece", F.explode(found)).drop(text)
 
 

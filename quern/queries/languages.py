@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import statistics, store
+from quern.functions import histogram, values
+from quern.operators import statistics, store, text
+from quern.operators.prefix import previous
 from quern.plans import object_language, stack_language
 from quern.session import table, workspace
 from quern.sources import exposition, files
@@ -76,12 +78,32 @@ def obj_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("c_custkey", F.size("orders").cast("bigint").alias("orders"), (F.round(total, 2) + 0.0).alias("total"))
 
 
-@_query("SELECT unnest(['(1:Customer:TableID, 1:c_custkey:sfixed64)', '(1:Customer:TableID, 1:c_custkey:sfixed64, 4:account:message)', '(1:Customer:TableID, 1:c_custkey:sfixed64, 5:orders:sfixed64)', '(2:Nation:TableID, 1:n_nationkey:sfixed32)']) AS key")
+@_query("SELECT unnest(['(1:Customer:TableID, 1:c_custkey:sfixed64)', '(1:Customer:TableID, 1:c_custkey:sfixed64, 4:account:message)', '(1:Customer:TableID, 1:c_custkey:sfixed64, 5:orders:map<sfixed64>)', '(2:Nation:TableID, 1:n_nationkey:sfixed32)']) AS key")
 def obj_describe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = object_language.describe_keys(object_language.parse_schema(SCHEMA))
     return spark.createDataFrame([(k,) for k in keys], "key string")
 
 
+@_query("SELECT 7 AS tables, true AS again, 'CustomerOrder' AS camel")
+def obj_schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema written in its own language and read again, and its lines as protobuf: two tables' messages and what they hold."""
+    schema = object_language.parse_schema(SCHEMA)
+    lines = spark.createDataFrame([(x.strip(),) for x in object_language.protobuf_text(schema).splitlines()], "line string")
+    again = object_language.parse_schema(object_language.schema_text(schema)) == schema
+    held = lines.agg(F.count_if(F.col("line").startswith("message ") | F.col("line").contains("map<") | F.col("line").contains("Nation nation =")).cast("int").alias("tables"))
+    return held.select("tables", F.lit(again).alias("again"), values.camel_case(F.lit("customer_order")).alias("camel"))
+
+
+@_query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS finished, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'F') AS pending, (SELECT max(epoch_us(o_orderdate)) FROM orders WHERE o_custkey = c_custkey) AS latest FROM customer")
+def obj_assemble_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of two maps and a breakout field."""
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    value = {"total": F.col("o_totalprice")}
+    maps = {"finished": (orders.filter("o_orderstatus = 'F'"), "o_orderkey", value), "pending": (orders.filter("o_orderstatus <> 'F'"), "o_orderkey", value)}
+    whole = object_language.assemble_all(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], maps, {"latest": (orders, F.unix_micros("o_orderdate"))})
+    return whole.select("c_custkey", *[F.size(m).cast("bigint").alias(m) for m in ("finished", "pending")], "latest")
+
+
 # The stack language over line items and vectors.
 
 _ITEM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -110,6 +132,32 @@ def stack_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir).select("l_orderkey", "l_linenumber", m.column("l_quantity [7 &] [2 <<] BI +").alias("v"), m.column("l_quantity 10 >= l_discount 0 = not and").alias("b"))
 
 
+@_query("SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity + l_partkey % 7 AS a, xor(l_partkey | l_suppkey, l_partkey >> 3) & ~l_suppkey AS b, l_partkey <> l_suppkey OR l_tax < 0.02 OR l_discount = 0 AS c FROM lineitem")
+def stack_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operators that the other programs lack."""
+    m = stack_language.Machine((*_ITEM, "l_partkey", "l_suppkey"))
+    a = m.column("l_extendedprice l_quantity / l_partkey 7 % +")
+    b = m.column("l_partkey l_suppkey | l_partkey 3 >> ^ l_suppkey ~ &")
+    c = m.column("l_partkey l_suppkey != l_tax 0.02 < || l_discount 0 == or")
+    return _items(spark, sf_dir).select("l_orderkey", "l_linenumber", a.alias("a"), b.alias("b"), c.alias("c"))
+
+
+#: Programs over q, e and k (quantity, line number and part), each with the SQL of what it leaves.
+_PROGRAMS = {
+    "over": ("q e OVER - *", "q * (e - q)"), "rot": ("q e k ROT - +", "e + (k - q)"), "unrot": ("q e k -ROT - +", "k + (q - e)"), "nip": ("q e NIP", "e"), "tuck": ("q e TUCK - -", "e - (q - e)"), "twodup": ("q e 2DUP + + -", "q - (e + (q + e))"), "twodrop": ("k q e 2DROP", "k"), "twoswap": ("q e k 1 2SWAP - - -", "k - (1 - (q - e))"), "twoover": ("q e k 1 2OVER - - - - -", "q - (e - (k - (1 - (q - e))))"), "tworot": ("1 2 q e k 3 2ROT - - - - -", "q - (e - (k - (3 - (1 - 2))))"),
+    "call": ("q [1 +] CALL", "q + 1"), "dip": ("q e [1 +] DIP -", "(q + 1) - e"), "twodip": ("q e k [1 +] 2DIP - -", "(q + 1) - (e - k)"), "threedip": ("q e k 2 [1 +] 3DIP - - -", "(q + 1) - (e - (k - 2))"), "keep": ("q [1 +] KEEP -", "(q + 1) - q"), "twokeep": ("q e [+] 2KEEP - -", "(q + e) - (q - e)"), "threekeep": ("q e k [+ +] 3KEEP - - -", "(q + (e + k)) - (q - (e - k))"),
+    "bi": ("q [1 +] [2 *] BI -", "(q + 1) - q * 2"), "bistar": ("q e [1 +] [2 *] BI* -", "(q + 1) - e * 2"), "biat": ("q e [1 +] BI@ *", "(q + 1) * (e + 1)"), "tri": ("q [1 +] [2 *] [3 -] TRI - -", "(q + 1) - (q * 2 - (q - 3))"), "tristar": ("q e k [1 +] [2 *] [3 -] TRI* - -", "(q + 1) - (e * 2 - (k - 3))"), "triat": ("q e k [1 +] TRI@ - -", "(q + 1) - ((e + 1) - (k + 1))"),
+    "compose": ("q [1 +] [2 *] COMPOSE CALL", "(q + 1) * 2"), "curry": ("q e [-] CURRY CALL", "q - e"), "twocurry": ("k q e [- -] 2CURRY CALL", "k - (q - e)"), "threecurry": ("1 k q e [- -] 3CURRY CALL -", "1 - (k - (q - e))"), "when": ("q q 25 > [100 +] WHEN", "CASE WHEN q > 25 THEN q + 100 ELSE q END"), "unless": ("q q 25 > [100 +] UNLESS", "CASE WHEN q > 25 THEN q ELSE q + 100 END"), "native": ("q e twice -", "q - e * 2"),
+}
+
+
+@_query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"CAST({sql} AS DOUBLE) AS {name}" for name, (_, sql) in _PROGRAMS.items()) + " FROM (SELECT l_orderkey, l_linenumber, l_quantity AS q, CAST(l_linenumber AS DOUBLE) AS e, CAST(l_partkey AS DOUBLE) AS k FROM lineitem)")
+def stack_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shuffle, combinator and choice, and an operator of the caller's own."""
+    m = stack_language.Machine({"q": F.col("l_quantity"), "e": F.col("l_linenumber").cast("double"), "k": F.col("l_partkey").cast("double")}, {"twice": lambda stack: stack.append(stack.pop() * 2)})
+    return _items(spark, sf_dir).select("l_orderkey", "l_linenumber", *[m.column(program).cast("double").alias(name) for name, (program, _) in _PROGRAMS.items()])
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 100).cast("double")).alias("xs"))
 
@@ -164,23 +212,95 @@ def src_exposition_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT * FROM (VALUES ('reading', 4), ('type', 2), ('help', 1), ('comment', 1), ('blank', 1), ('malformed', 2)) t(what, n)")
 def src_exposition_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind of line."""
-    text = ["# HELP a b c", "# TYPE a counter", "# TYPE h histogram", "# anything", "", 'a{x="1",y="q\\"z"} 3 1700000000000', "a +Inf -5", "a NaN", 'h_bucket{le="+Inf"} 4 1', "a{x=1} 3", "a three"]
-    lines = spark.createDataFrame([(x,) for x in text], "value string")
+    made = ["# HELP a b c", "# TYPE a counter", "# TYPE h histogram", "# anything", "", 'a{x="1",y="q\\"z"} 3 1700000000000', "a +Inf -5", "a NaN", 'h_bucket{le="+Inf"} 4 1', "a{x=1} 3", "a three"]
+    lines = spark.createDataFrame([(x,) for x in made], "value string")
     return exposition.parse(lines).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query()
+def _double_text(x: str) -> str:
+    """A double below 10^7 as Java writes it, in SQL."""
+    return f"CASE WHEN {x} = trunc({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) || '.0' ELSE CAST({x} AS VARCHAR) END"
+
+
+_B1 = "CASE WHEN value < 1 THEN 0 ELSE CAST(floor(value / pow(10.0, floor(log10(value))) + 9 * floor(log10(value)) - 1 + 0.5) AS INTEGER) END"
+_STAMP = "1706745600000"
+
+
+@_query(f"""WITH h AS (SELECT event_type AS m, {_B1} AS b, count(*) AS n FROM events WHERE value >= 0 GROUP BY 1, 2), v AS (SELECT m, (b % 9 + 1) * pow(10.0, b // 9) AS x, n, sum(n) OVER (PARTITION BY m ORDER BY b) AS c FROM h)
+    SELECT m AS metric, m || '_bucket{{le="' || {_double_text('x')} || '"}} ' || CAST(c AS BIGINT) || ' {_STAMP}' AS line FROM v UNION ALL SELECT m, m || '_bucket{{le="+Inf"}} ' || CAST(sum(n) AS BIGINT) || ' {_STAMP}' FROM v GROUP BY m
+    UNION ALL SELECT m, m || '_count ' || CAST(sum(n) AS BIGINT) || ' {_STAMP}' FROM v GROUP BY m UNION ALL SELECT m, m || '_sum of ' || CAST(sum(x * n) AS BIGINT) FROM v GROUP BY m""")
 def src_emit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative bucket lines of histograms."""
     events = table(spark, sf_dir, "events").withColumns({"metric": F.col("event_type"), "ts": F.lit("2024-02-01").cast("timestamp")})
-    return exposition.emit_histogram(statistics.observe(events, ["metric", "ts"], "value", 1), ["metric", "ts"], 1)
+    lines = exposition.emit_histogram(statistics.observe(events, ["metric", "ts"], "value", 1), ["metric", "ts"], 1)
+    total = F.regexp_extract("line", r"_sum (\S+) ", 1)  # the text of a large double differs between systems, its value doesn't
+    return lines.select("metric", F.when(total != "", F.concat("metric", F.lit("_sum of "), total.try_cast("double").cast("bigint").cast("string"))).otherwise(F.col("line")).alias("line"))
 
 
-@_query()
+@_query("""WITH m AS (SELECT event_type AS t, value AS v, avg(value) OVER (PARTITION BY event_type) AS mu FROM events), s AS (SELECT t, count(*) AS n, max(mu) AS m1, sum((v - mu) ** 2) AS m2, sum((v - mu) ** 3) AS m3, sum((v - mu) ** 4) AS m4 FROM m GROUP BY t)
+    SELECT t || '_' || p AS name, round(x, 4) AS "value" FROM (SELECT t, unnest(['count', 'mean', 'variance', 'skewness', 'kurtosis']) AS p, unnest([n, m1, m2 / (n - 1), sqrt(n) * m3 / m2 ** 1.5, n * m4 / (m2 * m2)]) AS x FROM s)""")
 def src_emit_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five gauges for each metric's moments."""
     events = table(spark, sf_dir, "events").withColumns({"metric": F.col("event_type"), "ts": F.lit("2024-02-01").cast("timestamp")})
-    return exposition.emit_moments(statistics.describe(statistics.moments(events, ["metric", "ts"], "value")))
+    lines = exposition.emit_moments(statistics.describe(statistics.moments(events, ["metric", "ts"], "value")))
+    read = exposition.parse(lines.select(F.col("line").alias("value")))  # the texts of doubles are read again, to be compared as numbers
+    return read.select(F.col("metric").alias("name"), F.round("number", 4).alias("value"))
+
+
+@_query(f"""WITH h AS (SELECT event_type AS m, {_B1} AS b, count(*) AS n FROM events WHERE value >= 0 GROUP BY 1, 2), v AS (SELECT m, (b % 9 + 1) * pow(10.0, b // 9) AS x, n FROM h)
+    SELECT m || ' {_STAMP} {{approx=' || {_double_text('x')} || '}} ' || n AS line FROM v UNION ALL SELECT 'events ' || epoch_us(ts) // 1000 || ' ' || event_id || '.0' FROM events""")
+def src_emit_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings a line each: a counter and histograms."""
+    events = table(spark, sf_dir, "events")
+    hist = statistics.observe(events, ["event_type"], "value", 1)
+    boxes = hist.groupBy("event_type").agg(F.collect_list(F.struct(histogram.boundary_for(F.col("bucket"), 1).alias("boundary"), "n")).alias("hist"))
+    none = {"value": F.lit(None).cast("double"), "moments": F.lit(None).cast("struct<n:bigint,m1:double,m2:double,m3:double,m4:double>")}
+    first = boxes.select(F.col("event_type").alias("label"), F.lit("histogram").alias("kind"), F.lit("2024-02-01").cast("timestamp").alias("ts"), none["value"].alias("value"), none["moments"].alias("moments"), "hist")
+    second = events.select(F.lit("events").alias("label"), F.lit("counter").alias("kind"), "ts", F.col("event_id").cast("double").alias("value"), none["moments"].alias("moments"), F.lit(None).cast(first.schema["hist"].dataType).alias("hist"))
+    return exposition.plain(first.unionByName(second))
+
+
+@_query("SELECT DISTINCT hex(kv_key) AS key_hex, ts, hex(val) AS val_hex, CAST(0 AS BIGINT) AS disorder FROM file_records WHERE ts IS NOT NULL AND kv_key IS NOT NULL")
+def src_log_to_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records dumped as a log of lines, with torn ones, made into a sorted run and read again."""
+    path, run = workspace(spark, "log"), workspace(spark, "run")
+    rows = table(spark, sf_dir, "file_records").filter("ts is not null and kv_key is not null").select(F.col("kv_key").alias("key"), "ts", F.col("val").alias("value")).distinct()
+    lines = files.dump(rows)
+    torn = lines.limit(5).select(F.concat(F.lit("ZZ"), F.substring("value", 1, 3)).alias("value"))
+    lines.unionByName(torn).write.text(path)
+    files.log_to_run(spark.read.text(path), run, rows_per_file=2000)
+    own = files.read_run(spark, run).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    wrong = previous(own, ["file"], "place", ["key", "ts"], "b").filter("b.key > key or (b.key = key and b.ts < ts)").count()
+    return own.select(F.hex("key").alias("key_hex"), "ts", F.hex("value").alias("val_hex"), F.lit(wrong).cast("bigint").alias("disorder"))
+
+
+@_query("SELECT 'f' || (event_id % 3) AS file, count(*) AS records, min(event_id) AS first_key, max(event_id) AS last_key FROM events GROUP BY 1")
+def src_run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a manifest keeps of each file."""
+    rows = table(spark, sf_dir, "events").withColumns({"file": F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")), "t": F.unix_micros("ts")})
+    return files.run_metadata(rows, "event_id", "t").select("file", F.col("n").alias("records"), "first_key", "last_key")
+
+
+@_query("SELECT event_id AS n, CAST(user_id AS VARCHAR) AS text FROM events")
+def src_newline_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of text files as numbered records: each holds its event and is found at its number."""
+    path = workspace(spark, "lines")
+    events = table(spark, sf_dir, "events").select("event_id", F.concat(F.col("event_id").cast("string"), F.lit(" "), F.col("user_id").cast("string")).alias("value"))
+    events.repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    part = F.split("text", " ")
+    rows = text.newline_records(spark, path).select("file", "record", part[0].cast("bigint").alias("event"), part[1].alias("text"))
+    first = rows.groupBy("file").agg(F.min("event").alias("first"))
+    return rows.join(first, "file").filter("record = event - first").select(F.col("event").alias("n"), "text")
+
+
+@_query("SELECT 'f' || (event_id % 4) AS file, count(*) FILTER (WHERE event_id % 4 < 2 OR event_id <> (SELECT max(e.event_id) FROM events e WHERE e.event_id % 4 = events.event_id % 4)) AS lines FROM events GROUP BY 1")
+def src_torn_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files whose last line may be torn: two of four are."""
+    events = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("f"), (F.col("event_id") % 4).cast("string")).alias("file"), F.col("event_id").alias("place"))
+    ends = events.groupBy("file").agg(F.max("place").alias("end")).filter("file in ('f2', 'f3')")
+    line = F.when(F.col("place") == F.col("end"), F.lit('{"x": 1')).otherwise(F.lit('{"x": 1}'))
+    lines = events.join(ends, "file", "left").select("file", "place", line.alias("value"))
+    return files.without_torn_tail(lines, "file", "place", F.try_parse_json("value").isNotNull()).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @_query("SELECT 'k' || event_id AS key, 'v' || user_id AS \"value\", event_id AS ts FROM events")
@@ -244,6 +364,19 @@ def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.scan().select(F.decode(F.substring("key", F.lit(5), n), "UTF-8").alias("keyspace"), F.hex(F.substring("key", n + 5, F.octet_length("key"))).alias("key_hex"), F.hex("value").alias("val_hex"))
 
 
+@_query("""SELECT hex(kv_key) AS key_hex, ts, hex(val) AS val_hex, CAST(0 AS BIGINT) AS faults FROM (SELECT *, row_number() OVER (PARTITION BY kv_key ORDER BY ts DESC, val DESC) AS rn FROM (SELECT DISTINCT kv_key, ts, val FROM file_records WHERE val IS NOT NULL AND ts IS NOT NULL AND kv_key IS NOT NULL)) WHERE rn <= 2""")
+def store_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compaction by a retention policy (the values of all stores' files, two versions of each key), the old runs removed, and the history verified."""
+    rows = table(spark, sf_dir, "file_records").filter("ts is not null and val is not null and kv_key is not null").select(F.col("kv_key").alias("key"), "ts", F.col("val").alias("value"), "file_id")
+    own = store.Store(spark, workspace(spark, "store"))
+    for half in ("coalesce(file_id, 0) % 2 = 0", "coalesce(file_id, 0) % 2 <> 0"):
+        own.ingest(rows.filter(half).drop("file_id"))
+    own.compact("versions = 2")
+    own.vacuum(keep=1)
+    kept = own.records().select(F.hex("key").alias("key_hex"), "ts", F.hex("value").alias("val_hex"))
+    return kept.withColumn("faults", F.lit(own.verify().count()).cast("bigint"))
+
+
 @_query("SELECT count(DISTINCT user_id) FILTER (WHERE user_id % 2 = 1) AS alive, CAST(2 AS BIGINT) AS last_ts FROM events")
 def store_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of puts and one of deletes; each is seen whole."""

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import tags
+from quern.functions import tags, tuples, values
 from quern.operators import logs, text, versions
 from quern.operators import records as record_sets
-from quern.session import table
+from quern.operators.prefix import previous
+from quern.session import table, workspace
+from quern.sources import files
 
 NEEDLE, TWIN = "the", "ss"
 AT = 1_742_000_000_000_000
@@ -79,8 +81,7 @@ _TOP = "SELECT piece, count(*) AS n FROM ({p}) {w} GROUP BY piece ORDER BY n DES
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _documents(spark, sf_dir)
-    return own.withColumn("piece", F.explode(F.regexp_extract_all("text", F.lit(r"\(([^()]*?)\)"), F.lit(1)))).drop("text")
+    return text.pieces(_documents(spark, sf_dir), r"\(", r"\)", inside="[^()]*?")
 
 
 @_query(_TOP.format(p=_PIECES, w="", k=10))
@@ -167,6 +168,60 @@ def log_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.coalesce(kind, F.lit("missing")).alias("kind"))
 
 
+_MADE = "'{\"a\": ' || CASE WHEN event_id % 4 = 0 THEN '{\"n\": ' || user_id || '}' WHEN event_id % 4 = 1 THEN '{\"n\": \"x\"}' WHEN event_id % 4 = 2 THEN '{}' ELSE '{\"n\": null}' END || ', \"t\": \"' || event_type || '\"}'"
+
+
+def _made() -> Column:
+    """A value of each kind at $.a.n: a number, a text, nothing, null."""
+    n = F.col("event_id") % 4
+    inner = F.when(n == 0, F.concat(F.lit('{"n": '), F.col("user_id").cast("string"), F.lit("}"))).when(n == 1, F.lit('{"n": "x"}')).when(n == 2, F.lit("{}")).otherwise(F.lit('{"n": null}'))
+    return F.concat(F.lit('{"a": '), inner, F.lit(', "t": "'), "event_type", F.lit('"}'))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN user_id END AS n, CASE event_id % 4 WHEN 0 THEN NULL WHEN 2 THEN 'missing' ELSE 'mismatch' END AS error, event_type AS t, CASE WHEN event_id % 4 = 1 THEN 'x' END AS text, CASE event_id % 4 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'STRING' WHEN 3 THEN 'VOID' END AS kind FROM events")
+def log_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed parts of values by path, with the reason where there is none."""
+    v = F.parse_json(_made())
+    n = values.extract(v, "$.a.n", "bigint")
+    return table(spark, sf_dir, "events").select("event_id", n["value"].alias("n"), n["error"].alias("error"), values.require(v, "$.t", "string").alias("t"), values.extract(v, "$.a.n", "string")["value"].alias("text"), values.kind(v, "$.a.n").alias("kind"))
+
+
+@_query(f"SELECT event_id, {_MADE} AS shown, {_MADE} AS again FROM events")
+def log_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as text, as they came and put together again from their leaves."""
+    rows = table(spark, sf_dir, "events").select("event_id", _made().alias("v"))
+    flat = logs.leaves(rows, "v", ["event_id", "v"], indexed=True)
+    return flat.select("event_id", values.display(F.col("v")).alias("shown"), values.display(values.rebuild(F.col("leaves"))).alias("again"))
+
+
+# Keys of several elements.
+
+
+@_query("""WITH o AS (SELECT o_orderkey, '01' || hex(o_orderstatus) || '0000' || translate('01' || '8' || lpad(hex(o_custkey), 15, '0') , '0123456789ABCDEF', 'FEDCBA9876543210') || CASE WHEN o_orderkey % 3 = 0 THEN '00' ELSE '01' || '7' || lpad(hex((1::HUGEINT << 60) - o_orderkey), 15, '0') END AS key_hex, o_orderstatus AS s, o_custkey AS c, CASE WHEN o_orderkey % 3 > 0 THEN -o_orderkey END AS k FROM orders) SELECT * FROM o""")
+def key_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a text, a falling number and a number below zero or null, and their elements read again."""
+    number = F.when(F.col("o_orderkey") % 3 > 0, -F.col("o_orderkey"))
+    key = tuples.encode([(F.col("o_orderstatus"), "string", False), (F.col("o_custkey"), "int", True), (number, "int", False)])
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", key.alias("key"))
+    s, c, k = tuples.decode(F.col("key"), [("string", False), ("int", True), ("int", False)])
+    return rows.select("o_orderkey", F.hex("key").alias("key_hex"), s.alias("s"), c.alias("c"), k.alias("k"))
+
+
+@_query("SELECT (SELECT count(*) FROM orders) AS n, CAST(0 AS BIGINT) AS disorder, CAST(0 AS BIGINT) AS overlaps")
+def key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run written in the order of its keys and falling times: rows that are out of order in their file, and files whose key ranges meet."""
+    rows = table(spark, sf_dir, "orders").select(tuples.encode([(F.col("o_custkey"), "int", True)]).alias("key"), F.col("o_custkey").alias("c"), F.unix_micros("o_orderdate").alias("ts"), F.lit(None).cast("binary").alias("value"))
+    path = workspace(spark, "run")
+    files.write_run(rows, path, ["key"], rows_per_file=4000)
+    run = files.read_run(spark, path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    held = previous(run, ["file"], "place", ["c", "ts"], "b")
+    wrong = (F.col("b.c") < F.col("c")) | ((F.col("b.c") == F.col("c")) & (F.col("b.ts") < F.col("ts")))
+    ends = files.run_metadata(run, "c")
+    across = previous(ends, [], "first_key", ["last_key"], "b")  # a row for each file
+    meets = across.agg(F.count_if(F.col("b.last_key") > F.col("first_key")).alias("overlaps"))
+    return held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(wrong.cast("bigint")), F.lit(0)).alias("disorder")).withColumn("overlaps", F.lit(meets.first()[0]).cast("bigint"))
+
+
 # Tags.
 
 _TAGSETS = "SELECT o_orderkey, ':priority=' || replace(o_orderpriority, ' ', '') || ':status=' || o_orderstatus || ':' AS tags FROM orders"

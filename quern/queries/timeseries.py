@@ -90,7 +90,8 @@ def ts_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
     swing = series.rollup(grid, lambda a: F.element_at(a, -1) - F.element_at(a, 1), 4)
     rises = series.uniform(grid, lambda a: F.size(F.filter(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.element_at(a, i + 1) > F.element_at(a, i))))
     spread = series.aggregate(grid, lambda v: F.max(v) - F.min(v))
-    return series.union(*[_out(x).withColumn("what", F.lit(n)) for n, x in (("scaled", scaled), ("swing", swing), ("rises", rises), ("spread", spread))])
+    noon = series.function_of_time(spark, lambda t: F.hour(t) * 60 + F.minute(t), PARAMS)
+    return series.union(*[_out(x).withColumn("what", F.lit(n)) for n, x in (("noon", noon), ("scaled", scaled), ("swing", swing), ("rises", rises), ("spread", spread))])
 
 
 def ts_finer_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +232,7 @@ SQL["ts_arrays"] = f"WITH {_BASE}, {_grid('g', 'true')} SELECT tags, string_agg(
 SQL["ts_delta_round_trip"] = f"WITH {_BASE} SELECT tags, row_number() OVER (PARTITION BY tags ORDER BY u, v) - 1 AS n, u AS ts_us, round(v, 6) AS \"value\" FROM pts"
 SQL["ts_fetch"] = f"WITH {_BASE} SELECT CASE WHEN contains(tags, '=error:') THEN 'counter' WHEN contains(tags, '=purchase:') THEN 'histogram' ELSE 'gauge' END AS kind, tags, u AS ts_us, round(v, 6) AS \"value\" FROM pts WHERE u >= {START} AND u < {LIMIT} AND (contains(tags, '=error:') OR contains(tags, '=view:') OR contains(tags, '=purchase:'))"
 SQL["ts_closures"] = f"""WITH {_BASE}, {_grid('g', "contains(tags, ':__name__=click:')")}, f AS (SELECT *, v - coalesce(first_value(v) OVER w, v) AS swing, v > lag(v) OVER s AS up FROM g WINDOW w AS (PARTITION BY tags ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), s AS (PARTITION BY tags ORDER BY k)),
-    r AS (SELECT tags, k, v * 2 + 1 AS x, 'scaled' AS what FROM g UNION ALL SELECT tags, k, swing, 'swing' FROM f UNION ALL SELECT tags, k, CAST(count(*) FILTER (WHERE up) OVER (PARTITION BY tags) AS DOUBLE), 'rises' FROM f UNION ALL SELECT '', k, max(v) - min(v), 'spread' FROM g GROUP BY k)
+    r AS (SELECT tags, k, v * 2 + 1 AS x, 'scaled' AS what FROM g UNION ALL SELECT tags, k, swing, 'swing' FROM f UNION ALL SELECT tags, k, CAST(count(*) FILTER (WHERE up) OVER (PARTITION BY tags) AS DOUBLE), 'rises' FROM f UNION ALL SELECT '', k, max(v) - min(v), 'spread' FROM g GROUP BY k UNION ALL SELECT '', k, ({START} + k * {STEP}) // 60000000 % 1440, 'noon' FROM (SELECT unnest(range({PARAMS.steps})) AS k))
     SELECT tags, k, round(x, 6) + 0.0 AS "value", what FROM r"""
 SQL["ts_finer_step"] = f"""WITH {_BASE}, {_grid('g', "contains(tags, ':__name__=error:')", step=STEP // 3)} SELECT '' AS tags, k, round(max(v), 6) AS "value" FROM g GROUP BY k"""
 SQL["fn_rfc3339"] = "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) END AS us FROM events"

@@ -146,3 +146,17 @@ def write(lines: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     placed = prefix_sums(sizes, [], ["metric", "__chunk"], weight=F.col("__n"), out="__at").select("metric", "__chunk", F.floor(F.col("__at") / per).cast("int").alias("__file"))
     numbered = every.join(placed, ["metric", "__chunk"]).repartitionById(-(-total // per), F.col("__file"))
     numbered.sortWithinPartitions("metric", ~F.col("__head"), "line").select("line").write.text(path)
+
+
+def plain(readings: DataFrame) -> DataFrame:
+    """(line): a reading a line, `label time value...`, for rows (label, kind, ts, value, moments, hist): counters and gauges have a value, moments n and four sums, a histogram a line for each boundary and count.
+
+    `value` is a double, `moments` a struct (n, m1..m4), `hist` an array of structs (boundary, n); what a
+    kind doesn't use may be null. Times are milliseconds.
+    """
+    head = F.concat_ws(" ", "label", F.unix_millis("ts").cast("string"))
+    one = F.concat_ws(" ", head, number_text(F.col("value")))
+    moments = F.concat_ws(" ", head, F.col("moments.n").cast("string"), *[number_text(F.col(f"moments.m{i}")) for i in range(1, 5)])
+    buckets = F.transform("hist", lambda h: F.concat(head, F.lit(" {approx="), number_text(h["boundary"]), F.lit("} "), h["n"].cast("string")))
+    lines = F.when(F.col("kind") == "moments", F.array(moments)).when(F.col("kind") == "histogram", buckets).otherwise(F.array(one))
+    return readings.select(F.explode(lines).alias("line"))

@@ -78,6 +78,27 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def dump(records: DataFrame, key: str = "key", ts: str = "ts", value: str = "value") -> DataFrame:
+    """(value): a line for each record: key, time and value, bytes as hexadecimal digits, `DEL` for a tombstone. Order is the reader's."""
+    return records.select(F.concat_ws(" ", F.hex(key), F.coalesce(F.col(ts).cast("string"), F.lit("-")), F.coalesce(F.hex(value), F.lit("DEL"))).alias("value"))
+
+
+def log_to_run(lines: DataFrame, path: str, rows_per_file: int = 0) -> None:
+    """A log of dumped lines, in any order and with torn ones, as a sorted run; lines that aren't whole records are left out."""
+    part = F.split("value", " ")
+    whole = F.col("value").rlike("^(?:[0-9A-F]{2})* -?[0-9]+ (?:DEL|(?:[0-9A-F]{2})*)$")
+    rows = lines.filter(whole).select(F.unhex(part[0]).alias("key"), part[1].cast("bigint").alias("ts"), F.when(part[2] != "DEL", F.unhex(part[2])).alias("value"))
+    write_run(rows, path, ["key"], rows_per_file=rows_per_file)
+
+
+def without_torn_tail(lines: DataFrame, file: str, place: str, whole: Column) -> DataFrame:
+    """The lines of log files without a last line that isn't `whole`, as a writer that was stopped leaves it; such lines elsewhere stay, for the reader to see. A combining pass finds the last lines."""
+    ends = lines.groupBy(file).agg(F.max(place).alias("__end"))
+    ends = ends.select(F.col(file).alias("__file"), "__end")
+    both = lines.join(ends, F.col(file).eqNullSafe(F.col("__file")))
+    return both.filter((F.col(place) != F.col("__end")) | F.coalesce(whole, F.lit(False))).drop("__file", "__end")
+
+
 def run_metadata(records: DataFrame, key: str, ts: str = "ts", file: str = "file") -> DataFrame:
     """(file, first_key, last_key, smallest_ts, biggest_ts, n): what a manifest keeps of each file."""
     return records.groupBy(file).agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.min(ts).alias("smallest_ts"), F.max(ts).alias("biggest_ts"), F.count(F.lit(1)).alias("n"))

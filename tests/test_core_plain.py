@@ -83,6 +83,13 @@ def test_schema():
     schema = object_language.parse_schema(SCHEMA)
     assert object_language.describe_keys(schema)[1] == "(1:A:TableID, 1:id:string, 2:n:uint64)"
     assert object_language.compatible(schema, schema) == []
+    assert object_language.describe_keys(schema)[3] == "(1:A:TableID, 1:id:string, 4:m:map<string>)"
+    assert object_language.parse_schema(object_language.schema_text(schema)) == schema
+    proto = object_language.protobuf_text(schema)
+    assert proto.startswith('syntax = "proto2";\n\nmessage A {\n    optional string id = 1;\n    optional uint64 n = 2;\n    message O {\n') and "    map<string, MValue> m = 4;\n" in proto
+    assert object_language.camel_case("some_odd__name_") == "SomeOddName"
+    assert object_language.entry_of(schema, (1, 1, 2)) == ("A", "id", "n") and object_language.entry_of(schema, (1, 1, 4)) == ("A", "id", "m")
+    assert [object_language.entry_of(schema, n) for n in ((), (3,), (1, 2), (1, 1, 9), (1, 1, 3, 1), (1, 1, 4, 1))] == [None] * 6
     changed = object_language.parse_schema(SCHEMA.replace("uint64 n", "string n"))
     assert object_language.compatible(schema, changed) == ["1.2: uint64 became string"]
     for bad in (SCHEMA.replace("B(m)", "C(m)"), SCHEMA.replace("n = 2", "n = 3"), SCHEMA.replace("@ 2", "@ 1"), SCHEMA.replace("string id = 1) @ 2", "fixed32 id = 1) @ 2"), "table"):
@@ -92,8 +99,8 @@ def test_schema():
 
 def test_rewriter():
     r = stack_language.Rewriter()
-    r.add_rule("DUP $X FILTER", "$X FILTER DUP")
-    assert r.optimize("A DUP [foo < 5] FILTER") == stack_language.parse("A [foo < 5] FILTER DUP")
+    r.add_rule("SWAP $op TWICE", "$op TWICE SWAP")
+    assert r.optimize("1 2 SWAP [3 +] TWICE 4 *") == stack_language.parse("1 2 [3 +] TWICE SWAP 4 *")
     r.add_rule("SWAP", "SWAP")
     assert r.optimize("SWAP") == ("SWAP",)
     with pytest.raises(stack_language.StackError):
