@@ -19,8 +19,13 @@ def bucket_for(x: Column, sig_figs: int) -> Column:
 
 def boundary_for(bucket: Column, sig_figs: int) -> Column:
     """The value that stands for a bucket."""
-    tens, per = 10 ** (sig_figs - 1), 9 * 10 ** (sig_figs - 1)
-    decade = F.floor(bucket / per)
-    scale = (decade - (sig_figs - 1)).cast("double")
-    digits = (bucket % per + tens).cast("double")
+    return boundary(bucket, F.lit(float(sig_figs)))
+
+
+def boundary(bucket: Column, sig_figs: Column) -> Column:
+    """The same for figures that vary by row: (b mod B + B/9) 10^(floor(b/B) - sig_figs + 1) with B = 9 10^(sig_figs - 1). Powers of ten that divide keep decimal values exact."""
+    tens = F.pow(F.lit(10.0), sig_figs - 1)
+    decade = F.floor(bucket / (tens * 9)).cast("double")
+    scale = decade - sig_figs + 1
+    digits = bucket - decade * tens * 9 + tens
     return F.when(scale < 0, digits / F.pow(F.lit(10.0), -scale)).otherwise(digits * F.pow(F.lit(10.0), scale))
