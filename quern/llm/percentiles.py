@@ -16,47 +16,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.histogram import boundary
+from quern.functions.ordering import MANTISSA, key_value, order_key
+from quern.functions.tags import pairs
 from quern.session import materialize
 
-MANTISSA = 52
 #: Bits of the mantissa in a state: relative error below 2^-8, 0.4 %.
 STATE_BITS = 8
 #: Bits followed by each further pass of the exact selection: 8 + 4 x 11 reaches all 52.
 PASS_BITS = 11
 
 
-def _power(e: Column) -> Column:
-    """2^e, exact for integers e in the range of doubles."""
-    return F.pow(F.lit(2.0), e)
-
-
-def order_key(x: Column) -> Column:
-    """A bigint that orders as the double x does; -0.0 equals 0.0, infinities are the ends, NaN and null give null."""
-    a = F.abs(x)
-    guess = F.floor(F.log2(a)).cast("double")
-    exponent = F.when(_power(guess) > a, guess - 1).when(_power(guess + 1) <= a, guess + 1).otherwise(guess)
-    fraction = a / _power(exponent) - 1
-    # Each part is whole and within 53 bits as a double; only their sum as bigints is exact.
-    normal = (exponent + 1023).cast("bigint") * F.lit(1 << MANTISSA) + (fraction * F.lit(float(1 << MANTISSA))).cast("bigint")
-    bits = (
-        F.when(a == 0, F.lit(0).cast("bigint"))
-        .when(a == float("inf"), F.lit(2047 << MANTISSA).cast("bigint"))
-        .when(a < 2.0**-1022, (a * 2.0**537 * 2.0**537).cast("bigint"))
-        .otherwise(normal)
-    )
-    return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("bigint")).when(x < 0, -bits).otherwise(bits)
-
-
-def key_value(key: Column) -> Column:
-    """The double of an order key."""
-    a = F.abs(key)
-    exponent = F.shiftright(a, MANTISSA)
-    fraction = (a % F.lit(1 << MANTISSA)).cast("double") / float(1 << MANTISSA)
-    small = fraction * 2.0**-1022
-    value = F.when(exponent == 2047, F.lit(float("inf"))).when(exponent == 0, small).otherwise((fraction + 1) * _power((exponent - 1023).cast("double")))
-    return F.when(key < 0, -value).otherwise(value)
-
-
 def states(values: DataFrame, by: Sequence[str], value: str = "value", weight: str | None = None, bits: int = STATE_BITS) -> DataFrame:
     """(by..., cell, n, least, greatest): the combinable state of each group; `least` and `greatest` are order keys.
 
@@ -96,12 +66,19 @@ def select(state: DataFrame, targets: DataFrame, by: Sequence[str], pct: str = "
     digits of a group is bounded whatever the group's rows.
     """
     state = state.withColumn("__first", F.shiftright("cell", bits))
-    totals = state.groupBy(*by).agg(F.sum("n").alias("total"))
+    own = Window.partitionBy(*by)
+    digits = state.groupBy(*by, "__first").agg(F.sum("n").alias("__in"))
+    ahead = F.coalesce(F.sum("__in").over(own.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    digits = digits.withColumns({"__ahead": ahead, "total": F.sum("__in").over(own)})
     exact = F.ceil(F.col(pct).cast("decimal(12,6)") * F.col("total").cast("decimal(20,0)") / F.lit(100)).cast("bigint")
-    wanted = targets.join(totals, list(by)).withColumn("rank", F.greatest(F.lit(1).cast("bigint"), F.least(exact, F.col("total"))))
-    wanted = _follow(state, wanted, by, "__first")
-    wanted = _follow(state.join(wanted.select(*by, "__first").distinct(), [*by, "__first"], "left_semi"), wanted, [*by, "__first"], "cell")
-    return wanted.join(state.drop("__first"), [*by, "cell"]).drop("__first")
+    wanted = targets.join(digits, list(by)).withColumn("rank", F.greatest(F.lit(1).cast("bigint"), F.least(exact, F.col("total"))))
+    wanted = wanted.filter((F.col("rank") > F.col("__ahead")) & (F.col("rank") <= F.col("__ahead") + F.col("__in")))
+    wanted = wanted.withColumn("rank", F.col("rank") - F.col("__ahead")).drop("__ahead", "__in")
+    along = Window.partitionBy(*by, "__first").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = state.withColumn("__ahead", F.coalesce(F.sum("n").over(along), F.lit(0)))
+    both = wanted.join(cells, [*by, "__first"])
+    hit = both.filter((F.col("rank") > F.col("__ahead")) & (F.col("rank") <= F.col("__ahead") + F.col("n")))
+    return hit.withColumn("rank", F.col("rank") - F.col("__ahead")).select(*by, pct, *[c for c in targets.columns if c not in (*by, pct)], "total", "rank", "cell", "n", "least", "greatest")
 
 
 def exact(rows: DataFrame, found: DataFrame, by: Sequence[str], pct: str = "pct", bits: int = STATE_BITS) -> DataFrame:
@@ -133,8 +110,8 @@ def exact(rows: DataFrame, found: DataFrame, by: Sequence[str], pct: str = "pct"
 
 
 def canonical_tags(tags: Column) -> Column:
-    """A tag set `:k=v:k=v:` with its pairs in order; null stays null."""
-    return F.array_join(F.array_sort(F.filter(F.split(tags, ":"), lambda t: t != "")), ":")
+    """The pairs of a tag set `:k=v:k=v:` in order; null stays null."""
+    return F.array_join(pairs(tags), ":")
 
 
 def tag_ids(tags: Column) -> list[Column]:
@@ -143,22 +120,14 @@ def tag_ids(tags: Column) -> list[Column]:
     return [F.xxhash64(own).alias("g1"), F.xxhash64(F.lit(0x5EED), own).alias("g2")]
 
 
-def histogram_boundary(bucket: Column, sig_figs: Column) -> Column:
-    """The boundary of a significant-figures bucket: (b mod B + B/9) 10^(floor(b/B) - sig_figs + 1), B = 9 10^(sig_figs - 1)."""
-    tens = F.pow(F.lit(10.0), sig_figs - 1)
-    per = tens * 9
-    decade = F.floor(bucket / per)
-    scale = decade - sig_figs + 1
-    digits = bucket - decade * per + tens
-    return F.when(scale < 0, digits / F.pow(F.lit(10.0), -scale)).otherwise(digits * F.pow(F.lit(10.0), scale))
-
-
 def sample_keys(samples: DataFrame) -> DataFrame:
-    """(g1, g2, __key, __n): finite values that aren't negative, each sample_id once: of repeats that differ one whole row, the least by (g1, g2, value)."""
+    """(g1, g2, __key, __n): finite values that aren't negative, each sample_id once: of repeats that differ one whole row, the same on every run."""
     good = samples.filter("tags is not null and val >= 0 and not isnan(val) and val < double('infinity')")
     keyed = good.select("sample_id", *tag_ids(F.col("tags")), order_key(F.col("val")).alias("__key"))
-    once = keyed.groupBy("sample_id").agg(F.min(F.struct("g1", "g2", "__key")).alias("__one"))
-    return once.select("__one.*", F.lit(1).cast("bigint").alias("__n"))
+    # One number orders the repeats, so that the aggregate keeps numbers only and needs no sort.
+    mark = F.xxhash64("g1", "g2", "__key")
+    once = keyed.groupBy("sample_id").agg(*[F.min_by(c, mark).alias(c) for c in ("g1", "g2", "__key")])
+    return once.select("g1", "g2", "__key", F.lit(1).cast("bigint").alias("__n"))
 
 
 def reading_keys(readings: DataFrame) -> DataFrame:
@@ -166,7 +135,7 @@ def reading_keys(readings: DataFrame) -> DataFrame:
     good = readings.filter("kind = 'histogram' and sig_figs between 1 and 4 and tags is not null and bucket_counts is not null")
     once = good.groupBy("reading_id").agg(F.min(F.struct(*tag_ids(F.col("tags")), "sig_figs", "bucket_counts")).alias("__one")).select("__one.*")
     cells = once.select("g1", "g2", "sig_figs", F.posexplode("bucket_counts").alias("bucket", "__n")).filter("__n > 0")
-    return cells.select("g1", "g2", order_key(histogram_boundary(F.col("bucket").cast("double"), F.col("sig_figs").cast("double"))).alias("__key"), "__n")
+    return cells.select("g1", "g2", order_key(boundary(F.col("bucket").cast("double"), F.col("sig_figs").cast("double"))).alias("__key"), "__n")
 
 
 def objective_states(samples: DataFrame, readings: DataFrame) -> DataFrame:
