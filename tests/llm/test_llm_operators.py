@@ -63,7 +63,7 @@ def test_percentiles_from_combined_states_and_exact(spark):
 
 def test_histogram_boundaries(spark):
     df = spark.createDataFrame([(float(b), float(s)) for s in (1, 2, 3) for b in (0, 1, 89, 90, 200, 1000)], "b double, s double")
-    for x in df.select("b", "s", percentiles.histogram_boundary(F.col("b"), F.col("s")).alias("v")).collect():
+    for x in df.select("b", "s", percentiles.boundary(F.col("b"), F.col("s")).alias("v")).collect():
         per = 9 * 10 ** (int(x["s"]) - 1)
         assert x["v"] == pytest.approx((int(x["b"]) % per + per // 9) * 10.0 ** (int(x["b"]) // per - int(x["s"]) + 1))
 
@@ -206,6 +206,23 @@ def test_mixing_reaches_its_shares(spark):
     assert mixing.mix(df.limit(0), goals).count() == 0
 
 
+def test_a_schedule_sets_when_a_source_comes(spark):
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", 10) for i in range(2000)], "doc_id bigint, source string, n_tokens bigint")
+    goals = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    plan = spark.createDataFrame([("A", 0.0, 0.0), ("A", 0.25, 0.0), ("a", 0.25, 4.0), ("a", 0.75, 0.0), ("b", 0.5, 2.0), ("b", 7.0, 1.0), ("c", 0.1, 1.0), (None, 0.0, 1.0)], "source string, at double, weight double")
+    got = mixing.mix(df, goals, schedule=plan).collect()
+    a, b = (sorted(x["due"] for x in got if x["source"] == s) for s in "ab")
+    assert len(a) == len(b) == 1000 and mixing.shares(mixing.mix(df, goals, schedule=plan), goals).filter("reached_share <> 0.5").count() == 0
+    for i in range(0, 1000, 37):
+        done = (i + 0.5) / 1000
+        assert b[i] == pytest.approx(done)  # one weight all the time
+        assert 0 <= a[i] <= 0.75 + 1e-9
+    early = sum(x < 0.5 for x in a) / 1000
+    rise, fall = 0.25 * 4 / 2, 0.5 * 4 / 2  # the rise from 0 at 0 to 4 at 0.25, as the greatest weight at a time counts
+    assert early == pytest.approx((rise + (4 + 2) / 2 * 0.25) / (rise + fall), abs=0.01)
+    assert all(x <= y for x, y in zip(a, a[1:], strict=False))
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world", "a"), (2, None, "b"), (3, "", None)], "doc_id bigint, text string, n string")
     assert {x["doc_id"]: x["n_tokens"] for x in tokens.token_counts(df, ["doc_id", "n"]).collect()} == {1: tokens.count_tokens("hello world"), 2: 0, 3: 0}
