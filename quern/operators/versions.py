@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,6 +75,8 @@ def write_batch(records: DataFrame, changes: DataFrame, ts: int, keys: Sequence[
 
 
 def _keep(policy, now: int) -> Column:
+    if callable(policy):
+        return policy(F.col("__cum"), F.col("__vts"), F.lit(now))
     if isinstance(policy, retention.Versions):
         return F.col("__cum") <= policy.number
     if isinstance(policy, retention.Ttl):
@@ -86,16 +88,17 @@ def _keep(policy, now: int) -> Column:
     return out
 
 
-def collect_garbage(records: DataFrame, keys: Sequence[str], policy: str, now: int, ts: str = "ts", value: str = "value", bits: int | None = None) -> DataFrame:
+def collect_garbage(records: DataFrame, keys: Sequence[str], policy: str | Callable[[Column, Column, Column], Column], now: int, ts: str = "ts", value: str = "value", bits: int | None = None) -> DataFrame:
     """The versions that a retention policy keeps.
 
     A version is a value, with the oldest of the tombstones right above it. A value without tombstones
     above costs one, another two; `versions = n` keeps values while their running cost is at most n,
-    `ttl_micros = m` those no older than m. Each part of a policy is worked out on the whole history.
+    `ttl_micros = m` those no older than m. Each part of a policy is worked out on the whole history. A
+    function of (running cost, time of the value, now) is a policy of the caller's own.
     Tombstones with nothing below them go. Null times don't count; equal versions count once. A key's history
     is cut into stretches of time, so that no task orders the whole of a large one.
     """
-    wanted = retention.parse(policy)
+    wanted = policy if callable(policy) else retention.parse(policy)
     rows = records.filter(F.col(ts).isNotNull()).select(*keys, ts, value).distinct()
     # Newest first, of one time a tombstone first. A value's tombstone is the row right above it, if that is one.
     rows = rows.withColumns({"__age": -F.col(ts), "__live": F.col(value).isNotNull()})

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quern import session
 from quern.operators.binpack import first_fit_decreasing
 from quern.operators.series import Params
 from quern.plans import log_language, object_language, retention, series_language, stack_language
@@ -107,3 +108,20 @@ def test_rewriter():
         r.add_rule("a $x", "$y")
     with pytest.raises(stack_language.StackError):
         stack_language.parse("a ] b")
+
+
+def test_a_cluster_names_its_own_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared"}
+    assert session.shared_dir(Session()) == "hdfs://shared"

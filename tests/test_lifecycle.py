@@ -153,7 +153,9 @@ def test_replay_is_the_last_change_in_any_order(spark):
     random.Random(4).shuffle(changes)
     state = changefeed.replay(spark.createDataFrame(changes, CHANGE), ["keyspace", "kv_key"])
     assert sorted((x[0], bytes(x[1]), x[2], bytes(x[4 - 1])) for x in state.select("keyspace", "kv_key", "ts", "val").collect()) == naive(changes)
-    assert changefeed.replay(spark.createDataFrame([], CHANGE), ["keyspace", "kv_key"]).count() == 0
+    none = spark.createDataFrame([], CHANGE)
+    assert changefeed.replay(none, ["keyspace", "kv_key"]).count() == 0
+    assert changefeed.replay(none, ["keyspace", "kv_key"], txn=["keyspace", "ts"], seq="change_id", declared=changefeed.gaps(none, "change_id")).count() == 0
 
 
 @pytest.mark.parametrize("numbers, want", [([], 0), ([2, 3], 0), ([1, 1, 2, 4], 2), ([None, 1, 2, 3], 3), ([*range(1, 65537)], 65536), ([*range(1, 70000), 70005], 69999), ([*range(65537, 65600)], 0), ([*range(1, 65)], 64), ([*range(1, 64)], 63), ([*range(1, 129), 200], 128), ([*range(1, 300_000), 10**12], 299_999), ([0, -5, 1], 1)])

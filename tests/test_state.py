@@ -60,6 +60,11 @@ def test_retention_over_slices(spark, hot):
         assert got[0] == got[1] and got[0]
 
 
+def test_a_policy_of_ones_own(spark, hot):
+    own = versions.collect_garbage(hot[1], ["k"], lambda cost, at, now: (cost <= 2) | (at >= now - 500), 2900)
+    assert sorted_rows(own) == sorted_rows(versions.collect_garbage(hot[1], ["k"], "any(versions = 2, ttl_micros = 500)", 2900))
+
+
 def test_as_of_join_over_slices_is_brute_force(spark, hot):
     r = random.Random(9)
     asked = [(i, r.choice(["hot", "hot", "b", "none", None]), r.choice([r.randrange(-60, 3100), None])) for i in range(800)]
