@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions import ordering
 from quern.session import materialize
 
-#: Bits of the fraction in a bucket's number: buckets are 1.6 % wide, in distance from the highest score.
-FRACTION_BITS = 6
+#: Buckets to an octave of the distance from the highest score: each is 1.6 % wide.
+OCTAVE = 44
 #: The lowest and the highest bucket there can be.
 LOWEST, HIGHEST = -(1 << 20), 1 << 20
 #: Thresholds of up to this many groups may be broadcast; more are joined by group, where Spark splits hot groups.
@@ -26,10 +25,11 @@ def ceiling(rows: DataFrame, score: str) -> float:
 
 
 def bucket(score: Column, top: float) -> Column:
-    """A whole number that never falls as the score rises: the leading digits of its distance below `top`, negated. NaN, which ranks first, is in the highest bucket with infinity."""
+    """A whole number that never falls as the score rises: the logarithm of its distance below `top`, negated; logarithms never fall either, as Java promises. NaN, which ranks first, is in the highest bucket with infinity."""
     x = score.cast("double")
-    below = -ordering.slices(F.greatest(F.lit(0.0), F.lit(top) - x), FRACTION_BITS)
-    return F.when(F.isnan(x) | (x == float("inf")), F.lit(HIGHEST)).when(x == float("-inf"), F.lit(LOWEST)).otherwise(below).cast("int")
+    below = F.least(F.lit(top) - x, F.lit(1.7e308))
+    step = -F.floor(F.log2(below) * OCTAVE)
+    return F.when(F.isnan(x) | (x == float("inf")), F.lit(HIGHEST)).when(below <= 0, F.lit(HIGHEST - 1)).when(x == float("-inf"), F.lit(LOWEST)).otherwise(step).cast("int")
 
 
 def thresholds(rows: DataFrame, by: Sequence[str], score: str, tie: Sequence[str], n: str, top: float) -> DataFrame:
