@@ -10,18 +10,26 @@ from pyspark.sql import functions as F
 
 #: A slice of a group is to hold about this many bytes of the plan's own estimate of its input.
 SLICE_BYTES = 32 << 20
+#: Sizes from here on are what the planner puts for ones that it doesn't know.
+UNKNOWN = 1 << 62
 #: Slices are carried over in chunks of this power of two, so that a window over a group's chunks has 4,096 times fewer rows than slices.
 CHUNK_BITS = 12
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The planner's estimate of the size of df, from file sizes and the like; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The size of what df reads, as the planner knows it from file sizes and the like; no job runs. A source of unknown size counts as 8 GB.
+
+    Inputs are summed up: the planner's own estimate of a join is the product of its sides.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s if s < UNKNOWN else 8 << 30 for s in sizes)
 
 
 def slice_bits(df: DataFrame, least: int = 4, most: int = 24) -> int:
     """The power of two of slices into which df's groups are to be cut; it grows with df."""
-    return max(least, min(most, math.ceil(math.log2(max(1, estimated_bytes(df)) / SLICE_BYTES)) if estimated_bytes(df) > SLICE_BYTES else least))
+    size = estimated_bytes(df)
+    return max(least, min(most, math.ceil(math.log2(size / SLICE_BYTES)))) if size > SLICE_BYTES else least
 
 
 def same_keys(keys: Sequence[str], prefix: str) -> Column:

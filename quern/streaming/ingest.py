@@ -128,8 +128,8 @@ def alerts(readings: DataFrame, monitor: str, threshold: float = 0.0) -> DataFra
     return rows.groupBy("key").applyInPandasWithState(step, out, "last_a double, last_b double, fired_at bigint, first double, latest double", "update", GroupStateTimeout.NoTimeout)
 
 
-#: Parts of a streamed state that are rewritten apart from each other.
-BUCKETS = 64
+#: Parts of a streamed state, and runs of one that are merged into one when there are more.
+BUCKETS, RUNS = 64, 8
 
 
 def apply_changes(changes: DataFrame, keys: list[str], path: str, checkpoint: str, txn: list[str] | None = None, seq: str | None = None, **names: str):
@@ -137,10 +137,11 @@ def apply_changes(changes: DataFrame, keys: list[str], path: str, checkpoint: st
 
     With `seq` a batch moves the contiguous watermark of those numbers on; changes behind it, and with `txn`
     those of transactions that aren't complete at it, wait in `pending` until later batches, or `seal`, let
-    them through. What is let through is merged into the buckets of the state that it touches; the others stay as
-    they are. The state keeps deletes, so a change that comes late is judged by its place in commit order, not
-    by its arrival; `read_state` shows the keys alive. A batch ends in one numbered commit that names its folders,
-    so doing it again changes nothing; folders that no commit of the last two names are deleted.
+    them through. What is let through is combined and added to the state as a run in each bucket that it
+    touches; a bucket of more than RUNS runs is merged. The state keeps deletes, so a change that comes late is
+    judged by its place in commit order, not by its arrival; `read_state` shows the keys alive. A batch ends in
+    one numbered commit that names its folders, so doing it again changes nothing; folders that no commit of the
+    last two names are deleted.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -167,14 +168,13 @@ def _merge(spark: SparkSession, batch: DataFrame | None, number: int | None, key
     if rows is None:
         return
     name = uuid.uuid4().hex
+    fs, path_of = hadoop_fs(spark, path)
+    listed = lambda folder: [p.getPath().getName() for p in fs.listStatus(path_of(f"{path}/{folder}"))]
     dead = changefeed.is_delete(F.col(op), F.col(value))
     good = F.col(ts).isNotNull()
     for k in keys:
         good = good & F.col(k).isNotNull()
-    held, mark = F.lit(False), state.get("mark", 0)
-    rows.write.parquet(f"{path}/batch-{name}")
-    rows = spark.read.parquet(f"{path}/batch-{name}")
-    flagged = rows
+    held, mark, flagged = F.lit(False), state.get("mark", 0), rows
     if seq:
         void = changefeed.gaps(rows, seq, mark + 1) if last else None
         mark = changefeed.contiguous_watermark(rows, seq, mark + 1, void).first()[0]
@@ -183,38 +183,38 @@ def _merge(spark: SparkSession, batch: DataFrame | None, number: int | None, key
         parts = rows.filter(good).withColumn("__done", F.xxhash64(dead, F.when(~dead, F.col(value))))
         open_ = changefeed.held_transactions(parts, txn, [*keys, ts, pos, "__done"], mark if seq else None, seq)
         open_.write.parquet(f"{path}/held-{name}")
-        open_ = spark.read.parquet(f"{path}/held-{name}")
+        open_ = spark.read.schema(open_.schema).parquet(f"{path}/held-{name}")
         if n := open_.limit(changefeed.BROADCAST_HELD + 1).count():
             open_ = open_.select(*[F.col(c).alias(f"__t_{c}") for c in txn], F.lit(True).alias("__open"))
             flagged = rows.join(F.broadcast(open_) if n <= changefeed.BROADCAST_HELD else open_, same_keys(txn, "__t_"), "left")
             held = held | F.coalesce("__open", F.lit(False))
-    flagged.withColumn("__held", held).select(*wanted, "__held").write.partitionBy("__held").parquet(f"{path}/sorted-{name}")
-    every = spark.read.parquet(f"{path}/sorted-{name}")
-    ready = every.filter(~F.col("__held").cast("boolean")).filter(good)
+    waits = None
+    if (seq or txn) and not last:
+        waits = f"pending-{name}"
+        flagged.filter(held).select(*wanted).write.parquet(f"{path}/{waits}")
     order = F.struct(F.col(ts).alias("t"), F.coalesce(F.col(pos).cast("bigint"), F.lit(-(2**62))).alias("p"), dead.alias("d"), F.col(pos).alias("q"), F.when(~dead, F.col(value)).alias("v"))
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    new = ready.groupBy(*keys).agg(F.max(order).alias("__c")).withColumn("__bucket", bucket)
-    buckets = dict(state.get("buckets", {}))
-    touched = [r[0] for r in new.select("__bucket").distinct().collect()]  # at most BUCKETS
-    if touched:
-        old = [f"{path}/{buckets[str(b)]}" for b in touched if str(b) in buckets]
-        both = new.drop("__bucket").unionByName(spark.read.parquet(*old).select(*keys, "__c")) if old else new.drop("__bucket")
-        merged = both.groupBy(*keys).agg(F.max("__c").alias("__c")).withColumn("__bucket", bucket)
-        merged.repartition("__bucket").write.partitionBy("__bucket").parquet(f"{path}/v-{name}")
-        buckets |= {str(b): f"v-{name}/__bucket={b}" for b in touched}
-    fs, path_of = hadoop_fs(spark, path)
-    waits = f"sorted-{name}/__held=true"
-    waits = waits if fs.exists(path_of(f"{path}/{waits}")) else None
-    before = {*state.get("buckets", {}).values(), *([state["pending"]] if state.get("pending") else [])}
-    gone = sorted(before - {*buckets.values(), waits})
-    commit(spark, f"{path}/commits/{at + 1:012d}.json", {"batch": number if number is not None else state.get("batch", -1), "mark": mark, "pending": waits, "buckets": buckets, "gone": gone})
-    for folder in (f"batch-{name}", f"held-{name}", f"sorted-{name}/__held=false", *state.get("gone", [])):
+    newest = lambda c, df: df.groupBy(*keys).agg(F.max(c).alias("__c")).withColumn("__bucket", bucket).repartition("__bucket").write.partitionBy("__bucket")
+    newest(order, flagged.filter(~held).filter(good)).parquet(f"{path}/v-{name}")
+    buckets = {b: list(runs) for b, runs in state.get("buckets", {}).items()}
+    for folder in listed(f"v-{name}"):
+        if folder.startswith("__bucket="):
+            buckets.setdefault(folder.removeprefix("__bucket="), []).append(f"v-{name}/{folder}")
+    long = {b: runs for b, runs in buckets.items() if len(runs) > RUNS}  # at most BUCKETS
+    if long:
+        newest("__c", spark.read.parquet(*[f"{path}/{r}" for runs in long.values() for r in runs]).select(*keys, "__c")).parquet(f"{path}/m-{name}")
+        buckets |= {b: [f"m-{name}/__bucket={b}"] for b in long}
+    used = lambda of: {*(r for runs in of.get("buckets", {}).values() for r in runs), *([of["pending"]] if of.get("pending") else [])}
+    now = {"batch": number if number is not None else state.get("batch", -1), "mark": mark, "pending": waits, "buckets": buckets}
+    commit(spark, f"{path}/commits/{at + 1:012d}.json", now | {"gone": sorted(used(state) - used(now))})
+    for folder in (f"held-{name}", *state.get("gone", [])):
         fs.delete(path_of(f"{path}/{folder}"), True)
 
 
 def read_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """(keys, ts, batch_pos, val): the keys alive in the newest commit; there must be one."""
-    buckets = committed(spark, f"{path}/commits")[1]["buckets"]
-    if not buckets:
+    runs = [r for of in committed(spark, f"{path}/commits")[1]["buckets"].values() for r in of]
+    if not runs:
         raise ValueError(f"nothing was applied to {path}")
-    return spark.read.parquet(*[f"{path}/{b}" for b in buckets.values()]).filter("not __c.d").select(*keys, F.col("__c.t").alias("ts"), F.col("__c.q").alias("batch_pos"), F.col("__c.v").alias("val"))
+    state = spark.read.parquet(*[f"{path}/{r}" for r in runs]).groupBy(*keys).agg(F.max("__c").alias("__c")).filter("not __c.d")
+    return state.select(*keys, F.col("__c.t").alias("ts"), F.col("__c.q").alias("batch_pos"), F.col("__c.v").alias("val"))

@@ -178,3 +178,20 @@ def test_open_feed_holds_a_batch_cut_by_the_watermark(spark, tmp_path):
     changes = [(1, "s", b"a", 1, 0, "put", b"1"), (2, "s", b"b", 2, 0, "put", b"2"), (4, "s", b"c", 2, 1, "put", b"3"), (9, "s", b"a", 1, 0, "put", b"1")]
     spark.createDataFrame([(*c, None) for c in changes], "change_id bigint, keyspace string, kv_key binary, ts bigint, batch_pos int, op string, val binary, log_name string").write.parquet(f"{tmp_path}/kv_changes.parquet")
     assert [(r["key_hex"], r["val_hex"]) for r in registry.all_queries()["p5_open_state"](spark, str(tmp_path)).collect()] == [("61", "31")]
+
+
+def test_a_streamed_feed_waits_for_its_gaps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "RUNS", 2)
+    schema = "seq bigint, k string, ts bigint, batch_pos int, op string, val string"
+    batches = [[(1, "a", 1, 0, "put", "1"), (2, "b", 1, 1, "put", "2")], [(4, "a", 3, 0, "put", "4"), (5, "c", 3, 1, "put", "5")], [(3, "a", 2, 0, "del", None), (3, "a", 2, 0, "del", None), (7, "c", 3, 2, "put", "7")], [(9, None, 9, 0, "put", "9"), (10, "d", 9, 1, "put", "x")]]
+    want = [{"a": "1", "b": "2"}, {"a": "1", "b": "2"}, {"b": "2"}, {"b": "2"}, {"a": "4", "b": "2", "c": "7", "d": "x"}]
+    path, state, progress = (str(tmp_path / n) for n in ("in", "state", "progress"))
+    for i in range(5):
+        if i < 4:
+            spark.createDataFrame(batches[i], schema).coalesce(1).write.mode("append").parquet(path)
+            ingest.apply_changes(spark.readStream.schema(schema).parquet(path), ["k"], state, progress, txn=["ts"], seq="seq").awaitTermination()
+        else:
+            ingest.seal(spark, state, ["k"], txn=["ts"], seq="seq")
+        assert {r["k"]: r["val"] for r in ingest.read_state(spark, state, ["k"]).collect()} == want[i]
+    ingest.seal(spark, state, ["k"], txn=["ts"], seq="seq")
+    assert {r["k"]: r["val"] for r in ingest.read_state(spark, state, ["k"]).collect()} == want[4]
