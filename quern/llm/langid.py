@@ -137,7 +137,9 @@ def pooled(net: BiGRU, texts: list[bytes]) -> np.ndarray:
     out = np.zeros((len(texts), len(net.classes)), np.float64)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     for at, probs in label_bytes(net, np.frombuffer(b"".join(texts), np.uint8)):
-        np.add.at(out, owner[at : at + len(probs)], probs)
+        own = owner[at : at + len(probs)]
+        cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[cut]] += np.add.reduceat(probs, cut, axis=0, dtype=np.float64)
     return out / np.maximum(1, out.sum(1, keepdims=True))
 
 
