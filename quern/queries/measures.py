@@ -54,7 +54,7 @@ def stat_moments_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The moments of the later events, as the whole less the earlier ones."""
     events = table(spark, sf_dir, "events")
     packed = [statistics.moments(e, ["event_type"], "value").select("event_type", F.struct(*statistics.MOMENTS).alias(n)) for e, n in ((events, "later"), (events.filter("event_id < 3000"), "earlier"))]
-    left = packed[0].join(packed[1], "event_type").select("event_type", statistics.subtract(F.col("later"), F.col("earlier")).alias("m")).select("event_type", "m.*")
+    left = packed[0].join(packed[1], "event_type").select("event_type", statistics.subtract(F.col("later"), F.col("earlier")).alias("m")).select("event_type", "m.*").filter("n > 0")  # types without later events have none
     return _rounded(statistics.describe(left), ["event_type", "n"], ["mean", "variance", "skewness", "kurtosis"], 4)
 
 
